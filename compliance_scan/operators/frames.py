@@ -98,6 +98,11 @@ def block_items() -> Column:
         line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
 
 
+def block_last_line() -> Column:
+    """Last line the block budget reaches (anchor + 30, clipped at end of file)."""
+    return F.max("line_no").over(line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
+
+
 def block_end(items: Column) -> Column:
     """Last line of the block: the line of the first ``}`` that brings the depth
     back to 0 after a ``{`` was seen; NULL if that does not happen within the

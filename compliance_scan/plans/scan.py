@@ -122,6 +122,7 @@ def frame_lines(prepared: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LIN
         cols.append(fr.context_any("optin").alias("ctx_optin"))
     if rules.CONSENT in ids:
         cols.append(fr.block_items().alias("blk"))
+        cols.append(fr.block_last_line().alias("blk_last"))
     framed = prepared.select(*cols).where(F.col("core"))
 
     if only_triggers:
