@@ -1,9 +1,10 @@
 """Detectors D1-D6 as column expressions over framed lines.
 
-A line-level detector is a ``when(condition, finding_struct)``; the scan
-puts all selected detectors in one array per line and explodes it, so the
-lines are read once for all of them.  D6 (file-wide evidence, first record
-per file) is an aggregation instead.
+Each detector is a ``when(condition, finding_struct)`` over a framed
+trigger line; the scan puts all selected detectors in one array per line and
+explodes it, so the lines are read once for all of them.  D6 (file-wide
+evidence, first record per file) reads the file-level columns that the chunk
+summary joins onto each trigger line.
 """
 
 from __future__ import annotations
@@ -58,45 +59,28 @@ def condition(spec: rules.DetectorSpec) -> Column:
     if d == rules.LOGGING:
         return _f("log")
     if d == rules.ENCRYPTION:
-        return _f("ident") & ~F.col("enc_protected")
+        return _f("ident") & ~F.col("protected_enc_ev")
     if d == rules.CONSENT:
         return _f("mapping") & F.col("blk_personal") & ~F.col("blk_consent")
     if d == rules.MARKETING:
         return _f("send") & F.col("ctx_intent") & ~F.col("ctx_optin")
     if d == rules.FINANCIAL:
-        return _f("fin") & ~F.col("fin_protected")
-    raise ValueError(f"{d} is not a line-level detector")
+        return _f("fin") & ~F.col("protected_prot_ev")
+    if d == rules.RETENTION:
+        # the first record line of a file with no retention evidence anywhere
+        return (_f("record") & (F.col("line_no") == F.col("file_first_record"))
+                & F.col("file_has_record") & ~F.col("file_has_retention"))
+    raise ValueError(f"unknown detector {d}")
 
 
 def line_findings(framed: DataFrame, specs) -> DataFrame:
     """One row per finding of the line-level detectors, in one pass over ``framed``."""
     per_line = [F.when(condition(s), finding(s, F.col("file_path"), F.col("line_no"), F.col("line")))
-                for s in specs if s.id != rules.RETENTION]
-    if not per_line:
-        return None
+                for s in specs]
     arr = F.filter(F.array(*per_line), lambda x: x.isNotNull())
     return framed.select(F.explode(arr).alias("f")).select("f.*")
 
 
-def retention_findings(prepared: DataFrame) -> DataFrame:
-    """First non-comment record line of each file with no retention evidence anywhere.
-
-    A grouped aggregate with partial (map-side) aggregation, so a file spread
-    over many chunks is combined before its single row is shuffled.
-    """
-    spec = rules.BY_ID[rules.RETENTION]
-    core = F.col("core")
-    per_file = (prepared.groupBy("file_path")
-                .agg(F.max(core & _f("record")).alias("has_record"),
-                     F.max(core & _f("retained")).alias("has_retention"),
-                     F.min(F.when(core & _f("record"),
-                                  F.struct(F.col("line_no").alias("line_no"),
-                                           F.col("line").alias("line")))).alias("first")))
-    hits = per_file.where(F.col("has_record") & ~F.col("has_retention"))
-    return hits.select(finding(spec, F.col("file_path"), F.col("first.line_no"),
-                               F.col("first.line")).alias("f")).select("f.*")
-
-
 def detector_catalog(spark: SparkSession) -> DataFrame:
     """The detector catalogue in registration order (6 rows)."""
     rows = [(d.ord, d.id, d.name, d.description, list(d.related_laws), d.risk_level)

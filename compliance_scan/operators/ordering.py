@@ -58,7 +58,7 @@ def with_global_ordinal(findings: DataFrame, order: list[Column] | None = None,
                         name: str = "ordinal") -> DataFrame:
     """1-based position of each row in ``order`` (default: report order) over the whole table."""
     spark = findings.sparkSession
-    checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="compliance-scan-ckpt-"))
+    checkpoint_dir(spark) or checkpoint_dir(spark, tempfile.mkdtemp(prefix="compliance-scan-"))
     ordered = findings.orderBy(*(order or walk_order())).checkpoint(eager=True)
     tagged = ordered.select("*", F.spark_partition_id().alias("_pid"),
                             F.monotonically_increasing_id().alias("_mid"))

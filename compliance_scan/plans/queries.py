@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import extract, flag_predicates, matches, unicode_trim
+from ..functions import re2
+from ..functions.text import FLAG_BITS, extract, flag, matches, unicode_trim
 from ..operators import laws as law_ops
 from ..operators import ordering, report
 from ..operators.detectors import detector_catalog
 from ..sources.corpus import corpus_sources
 from ..sources.files import to_lines
 from ..sources.laws import load_laws
-from .scan import DEFAULT_CHUNK_LINES, frame_lines, prepare_lines, scan
+from .scan import frames, scan
 
 CORPUS_TABLE = "customer"
 
@@ -55,10 +56,11 @@ def line_snippets(spark, sf_dir):
 
 
 def line_flags(spark, sf_dir):
-    """Every line predicate of every line."""
+    """Every line predicate of every line (the scan's RE2 bitmask, unpacked)."""
     lines = to_lines(corpus(spark, sf_dir))
-    preds = flag_predicates(F.col("line"))
-    return lines.select("file_path", "line_no", *[p.alias(n) for n, p in preds.items()])
+    names = tuple(FLAG_BITS)
+    packed = lines.select("file_path", "line_no", re2.line_flags(F.col("line"), names).alias("flags"))
+    return packed.select("file_path", "line_no", *[flag(F.col("flags"), n).alias(n) for n in names])
 
 
 FIELD_PATTERNS = (("log_call", 2), ("identifier", 0), ("financial", 0), ("record", 0))
@@ -78,9 +80,8 @@ def matched_field(spark, sf_dir):
 # --- frames -------------------------------------------------------------------------
 
 def _framed(spark, sf_dir, detector_ids, only_triggers=False):
-    specs = rules.resolve(detector_ids)
-    prepared = prepare_lines(to_lines(corpus(spark, sf_dir)), specs, DEFAULT_CHUNK_LINES)
-    return frame_lines(prepared, specs, DEFAULT_CHUNK_LINES, only_triggers=only_triggers)
+    return frames(to_lines(corpus(spark, sf_dir)), rules.resolve(detector_ids),
+                  only_triggers=only_triggers)
 
 
 def annotation_evidence(spark, sf_dir):

@@ -6,13 +6,22 @@ Physical shape (see ``explain``):
 2. one projection evaluates every regex once per line and packs the results
    into an INT bitmask; the line text is kept only on trigger lines, so the
    shuffle carries flags, not text;
-3. every line is tagged with its *chunk* (``(line_no-1) div chunk_lines``)
-   and copied into neighbouring chunks whose frames reach it (halo: 10 lines
-   back, 30 forward); then ONE exchange on ``(file_path, chunk)``;
-4. one sort + window pass computes all frames for all detectors;
-5. the same exchange output feeds two small aggregations (reused exchange,
-   no second read): the per-chunk carry of the unbounded annotation run and
-   the file-wide retention check (partial aggregation before its shuffle).
+3. the flagged lines are written once as a Parquet table under the
+   session's checkpoint folder (``materialize``): the regex pass runs exactly
+   once, lineage is cut, and both consumers below read only the columns they
+   need;
+4. consumer A tags every line with its *chunk* (``(line_no-1) div
+   chunk_lines``), copies it into neighbouring chunks whose frames reach it
+   (halo: 10 lines back, 30 forward), shuffles ONCE on ``(file_path,
+   chunk)`` and computes all frames of all detectors in one sort + window
+   pass; only trigger lines leave it;
+5. consumer B aggregates per ``(file, chunk)`` (fixed-width HashAggregate
+   with map-side combine) and runs a window over that small table: the carry
+   of the unbounded annotation run from earlier chunks, and file-wide
+   retention evidence / first record line;
+6. trigger lines join B's table on ``(file_path, chunk)`` (they are already
+   partitioned that way, only the small table moves) and one ``explode``
+   emits the findings of all six detectors.
 
 A file of any size is thus spread over ``lines / chunk_lines`` tasks; nothing
 is collected into one task, one group or the driver.
@@ -26,9 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import TRIGGER_FLAGS, flag, matches, needed_flags, pack_flags
+from ..functions import re2
+from ..functions.text import TRIGGER_FLAGS, flag, needed_flags
 from ..operators import detectors as det
 from ..operators import frames as fr
+from ..session import materialize
 from ..sources.files import to_lines
 
 DEFAULT_CHUNK_LINES = 1 << 16
@@ -44,72 +55,112 @@ def prefilter_sources(sources: DataFrame, specs) -> DataFrame:
     Exact: no trigger uses ``^``/``$``, so a line match is also a match in the
     joined text (a superset test); files dropped here cannot yield findings.
     """
-    triggers = {s.trigger for s in specs}
-    cond = reduce(lambda a, b: a | b, [matches(F.col("content"), t) for t in sorted(triggers)])
-    return sources.where(cond)
+    return sources.where(re2.matches_any(F.col("content"), [s.trigger for s in specs]))
 
 
-def prepare_lines(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Flag, chunk and shuffle lines: ``(file_path, chunk, line_no, core, flags, line, braces)``."""
-    if chunk_lines <= 0:
-        raise ValueError("chunk_lines must be positive")
+def flag_lines(lines: DataFrame, specs) -> DataFrame:
+    """One row per line: ``(file_path, line_no, flags, line, braces)``; no shuffle.
+
+    ``line`` is kept only on trigger lines (snippet / field source) and
+    ``braces`` only where the line has a brace, so the table is mostly
+    file path, two INTs and NULLs.
+    """
     ids = [s.id for s in specs]
     names = needed_flags(ids)
-    flagged = lines.select("file_path", "line_no", "line",
-                           pack_flags(F.col("line"), names).alias("flags"))
-    triggers = [flag(F.col("flags"), n) for n in TRIGGER_FLAGS if n in names]
+    with_braces = rules.CONSENT in ids
+    lf = re2.line_flags(F.col("line"), names, with_braces)
+    flagged = lines.select("file_path", "line_no", "line", lf.alias("lf"))
+    flags = F.col("lf.flags") if with_braces else F.col("lf")
+    braces = F.col("lf.braces") if with_braces else F.lit(None).cast("string")
+    triggers = [flag(flags, n) for n in TRIGGER_FLAGS if n in names]
     keep_text = reduce(lambda a, b: a | b, triggers) if triggers else F.lit(False)
-    cols = [F.col("file_path"), F.col("line_no"), F.col("flags"),
-            F.when(keep_text, F.col("line")).alias("line")]
-    if rules.CONSENT in ids:
-        braces = F.regexp_replace(F.col("line"), "[^{}]", "")
-        cols.append(F.when(braces != "", braces).alias("braces"))
-    else:
-        cols.append(F.lit(None).cast("string").alias("braces"))
-    slim = flagged.select(*cols)
+    return flagged.select(F.col("file_path"), F.col("line_no").cast("int").alias("line_no"),
+                          flags.alias("flags"), F.when(keep_text, F.col("line")).alias("line"),
+                          braces.alias("braces"))
 
+
+def chunk_with_halo(flagged: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Tag chunks, copy halo rows, shuffle once on ``(file_path, chunk)``."""
+    if chunk_lines <= 0:
+        raise ValueError("chunk_lines must be positive")
     i = F.col("line_no") - 1
     first = F.greatest(F.lit(0), F.floor((i - fr.FORWARD_HALO) / chunk_lines)).cast("int")
     last = F.floor((i + fr.BACKWARD_HALO) / chunk_lines).cast("int")
-    chunked = (slim.withColumn("chunk", F.explode(F.sequence(first, last)))
+    chunked = (flagged.withColumn("chunk", F.explode(F.sequence(first, last)))
                .withColumn("core", F.col("chunk") == (i / chunk_lines).cast("int")))
     parts = [num_partitions] if num_partitions else []
     return chunked.repartition(*parts, "file_path", "chunk")
 
 
-def annotation_carry(prepared: DataFrame, evidences, chunk_lines: int) -> DataFrame:
-    """Per (file, chunk > 0): last break / last annotated evidence in all earlier chunks.
+def prepare_lines(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Lazy variant (no table written): flag, chunk and shuffle."""
+    return chunk_with_halo(flag_lines(lines, specs), chunk_lines, num_partitions)
+
+
+_EVIDENCE = ((rules.ENCRYPTION, "enc_ev"), (rules.FINANCIAL, "prot_ev"))
 
-    Only files spanning more than one chunk produce rows, so the table is at
-    most ``lines / chunk_lines`` rows; the per-chunk aggregate runs on the
-    already partitioned lines (no exchange), the prefix over chunks is a
-    window over that small table.
+# the flag that makes a line a candidate of each detector
+TRIGGER_FLAG_OF = {rules.LOGGING: "log", rules.ENCRYPTION: "ident", rules.CONSENT: "mapping",
+                   rules.MARKETING: "send", rules.FINANCIAL: "fin", rules.RETENTION: "record"}
+
+
+def chunk_summary(flagged: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame | None:
+    """Per ``(file_path, chunk)``: what a line needs to know about the rest of its file.
+
+    * ``carry_brk`` / ``carry_<evidence>``: last non-annotation line and last
+      annotated evidence line in all earlier chunks (W2 across chunks);
+    * ``file_has_record``, ``file_has_retention``, ``file_first_record``: the
+      file-wide retention check (W6/W7).
+
+    Fixed-width aggregates only (HashAggregate, partial before the shuffle);
+    then a window over the chunks of each file -- one row per chunk, so even a
+    file with a third of all lines has only ``lines / chunk_lines`` rows here.
+    Without the retention detector only chunks > 0 are kept (multi-chunk
+    files), so the table is tiny and AQE broadcasts it.
     """
-    core = F.col("core")
-    aggs = [F.max(F.when(core & ~_f("annot"), F.col("line_no"))).alias("brk"),
-            F.max(F.col("line_no") > (F.col("chunk") + 1) * chunk_lines).alias("has_next")]
-    aggs += [F.max(F.when(core & _f("annot") & _f(e), F.col("line_no"))).alias(f"aev_{e}")
-             for e in evidences]
-    per_chunk = (prepared.groupBy("file_path", "chunk").agg(*aggs)
-                 .where((F.col("chunk") > 0) | F.col("has_next")))
-    before = Window.partitionBy("file_path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(
-        "file_path", "chunk",
-        F.max("brk").over(before).alias("carry_brk"),
-        *[F.max(f"aev_{e}").over(before).alias(f"carry_{e}") for e in evidences])
-    return carried.where(F.col("chunk") > 0)
-
-
-def frame_lines(prepared: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
+    ids = {s.id for s in specs}
+    evidences = [e for d, e in _EVIDENCE if d in ids]
+    retention = rules.RETENTION in ids
+    if not evidences and not retention:
+        return None
+    ln = F.col("line_no")
+    aggs = []
+    if evidences:
+        aggs.append(F.max(F.when(~_f("annot"), ln)).alias("brk"))
+        aggs += [F.max(F.when(_f("annot") & _f(e), ln)).alias(f"aev_{e}") for e in evidences]
+    if retention:
+        aggs += [F.max(_f("record")).alias("has_record"), F.max(_f("retained")).alias("has_retention"),
+                 F.min(F.when(_f("record"), ln)).alias("first_record")]
+    per_chunk = (flagged.select("file_path", "line_no", "flags",
+                                ((ln - 1) / chunk_lines).cast("int").alias("chunk"))
+                 .groupBy("file_path", "chunk").agg(*aggs))
+    by_file = Window.partitionBy("file_path").orderBy("chunk")
+    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    whole = by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cols = [F.col("file_path"), F.col("chunk")]
+    if evidences:
+        cols.append(F.max("brk").over(before).alias("carry_brk"))
+        cols += [F.max(f"aev_{e}").over(before).alias(f"carry_{e}") for e in evidences]
+    if retention:
+        cols += [F.max("has_record").over(whole).alias("file_has_record"),
+                 F.max("has_retention").over(whole).alias("file_has_retention"),
+                 F.min("first_record").over(whole).alias("file_first_record")]
+    summary = per_chunk.select(*cols)
+    return summary if retention else summary.where(F.col("chunk") > 0)
+
+
+def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
                 only_triggers: bool = True) -> DataFrame:
     """All frame columns of the selected detectors for core lines, in one window pass.
 
-    With ``only_triggers`` the rows are cut to lines that trigger a selected
-    line-level detector before the annotation carry is joined.
+    ``prepared`` comes from ``chunk_with_halo``; ``summary`` from
+    ``chunk_summary`` over the same lines.  With ``only_triggers`` the rows
+    are cut to trigger lines before the summary is joined.
     """
     ids = {s.id for s in specs}
-    evidences = [e for d, e in ((rules.ENCRYPTION, "enc_ev"), (rules.FINANCIAL, "prot_ev")) if d in ids]
+    evidences = [e for d, e in _EVIDENCE if d in ids]
     cols = [F.col(c) for c in ("file_path", "chunk", "line_no", "core", "flags", "line")]
     if evidences:
         cols.append(fr.previous_break().alias("prev_brk"))
@@ -126,11 +177,8 @@ def frame_lines(prepared: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LIN
     framed = prepared.select(*cols).where(F.col("core"))
 
     if only_triggers:
-        trig = [_f(n) for n, d in (("log", rules.LOGGING), ("ident", rules.ENCRYPTION),
-                                   ("mapping", rules.CONSENT), ("send", rules.MARKETING),
-                                   ("fin", rules.FINANCIAL)) if d in ids]
-        if trig:
-            framed = framed.where(reduce(lambda a, b: a | b, trig))
+        trig = [_f(TRIGGER_FLAG_OF[d]) for d in sorted(ids)]
+        framed = framed.where(reduce(lambda a, b: a | b, trig))
 
     if rules.CONSENT in ids:
         end = F.when(_f("mapping"), fr.block_end(F.col("blk")))
@@ -138,40 +186,50 @@ def frame_lines(prepared: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LIN
                   .withColumn("blk_personal", F.when(_f("mapping"), fr.block_has(F.col("blk"), F.col("blk_end"), "personal")))
                   .withColumn("blk_consent", F.when(_f("mapping"), fr.block_has(F.col("blk"), F.col("blk_end"), "consent"))))
 
+    if summary is not None:
+        framed = framed.join(summary, ["file_path", "chunk"], "left")
     if evidences:
-        carry = annotation_carry(prepared, evidences, chunk_lines)
-        framed = framed.join(carry, ["file_path", "chunk"], "left")
         brk = F.coalesce(F.col("prev_brk"), F.col("carry_brk"))
-        for d, e, out in ((rules.ENCRYPTION, "enc_ev", "enc_protected"),
-                          (rules.FINANCIAL, "prot_ev", "fin_protected")):
+        for d, e in _EVIDENCE:
             if d not in ids:
                 continue
             by_annotation = fr.annotation_run_has(F.coalesce(F.col(f"prev_{e}"), F.col(f"carry_{e}")), brk)
             forward = fr.forward_has(F.col(f"fwd_{e}"), F.col("fwd_stop"))
             framed = (framed.withColumn(f"annot_{e}", by_annotation)
                       .withColumn(f"forward_{e}", forward)
-                      .withColumn(out, _f(e) | by_annotation | forward))
+                      .withColumn(f"protected_{e}", _f(e) | by_annotation | forward))
     return framed
 
 
+def frames(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
+           num_partitions: int | None = None, only_triggers: bool = True,
+           materialized: bool = True) -> DataFrame:
+    """Flag lines (once), then frame them; see the module docstring for the plan."""
+    flagged = flag_lines(lines, specs)
+    if materialized:
+        flagged = materialize(flagged, "scan-lines")
+    prepared = chunk_with_halo(flagged, chunk_lines, num_partitions)
+    summary = chunk_summary(flagged, specs, chunk_lines)
+    return frame_lines(prepared, specs, summary, only_triggers)
+
+
 def scan_lines(lines: DataFrame, detectors=None, chunk_lines: int = DEFAULT_CHUNK_LINES,
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, materialized: bool = True) -> DataFrame:
     """Findings of the selected detectors (default all six) over a lines table."""
     specs = rules.resolve(detectors)
-    prepared = prepare_lines(lines, specs, chunk_lines, num_partitions)
-    parts = []
-    line_specs = [s for s in specs if s.id != rules.RETENTION]
-    if line_specs:
-        parts.append(det.line_findings(frame_lines(prepared, line_specs, chunk_lines), line_specs))
-    if any(s.id == rules.RETENTION for s in specs):
-        parts.append(det.retention_findings(prepared))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    framed = frames(lines, specs, chunk_lines, num_partitions, True, materialized)
+    return det.line_findings(framed, specs)
 
 
 def scan(sources: DataFrame, detectors=None, prefilter: bool = True,
-         chunk_lines: int = DEFAULT_CHUNK_LINES, num_partitions: int | None = None) -> DataFrame:
-    """Findings for a ``(file_path, content)`` table (one row per file)."""
+         chunk_lines: int = DEFAULT_CHUNK_LINES, num_partitions: int | None = None,
+         materialized: bool = True) -> DataFrame:
+    """Findings for a ``(file_path, content)`` table (one row per file).
+
+    With ``materialized`` (default) the flagged lines are written once to the
+    checkpoint folder when this is called; the returned DataFrame reads them.
+    """
     specs = rules.resolve(detectors)
     if prefilter:
         sources = prefilter_sources(sources, specs)
-    return scan_lines(to_lines(sources), specs, chunk_lines, num_partitions)
+    return scan_lines(to_lines(sources), specs, chunk_lines, num_partitions, materialized)

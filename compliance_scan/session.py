@@ -9,8 +9,10 @@ unset (tests, local runs).
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "compliance_scan",
@@ -37,6 +39,21 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         return current
     if fallback:
         spark.sparkContext.setCheckpointDir(fallback)
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        return fallback
+        return spark.sparkContext.getCheckpointDir() or fallback
     return None
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Used where one expensive intermediate feeds several consumers: it is
+    computed once, lineage is cut (a lost executor does not recompute it),
+    and each consumer reads only the columns it needs.  The folder comes from
+    the session (``spark.checkpoint.dir``); a temporary one is set only when
+    none is configured (local runs, tests).
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark) or checkpoint_dir(spark, tempfile.mkdtemp(prefix="compliance-scan-"))
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

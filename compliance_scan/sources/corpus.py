@@ -80,8 +80,19 @@ def _template_at(k: Column, n: Column) -> Column:
 
 
 def _keys(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The key column, spread over at least the cluster's default parallelism.
+
+    A driver table is one small parquet file (one partition); generating all
+    files from it in one task would serialise the whole scan.  Keys are 8
+    bytes, so the round-robin shuffle is cheap; a key table that already has
+    enough partitions (large inputs) is left as it is.
+    """
     key = KEY_COLUMNS[table]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long").alias("k"))
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long").alias("k"))
+    parallelism = spark.sparkContext.defaultParallelism
+    if keys.rdd.getNumPartitions() < parallelism:
+        keys = keys.repartition(parallelism * 2)
+    return keys
 
 
 def corpus_sources(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
