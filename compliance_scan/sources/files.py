@@ -17,7 +17,7 @@ from .. import rules
 from ..functions.text import split_lines
 
 
-def _plain_path(uri):
+def plain_path(uri):
     """``file:/a%20b/c+d.java`` -> ``/a b/c+d.java`` (a literal ``+`` survives)."""
     decoded = F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
     return F.regexp_replace(decoded, r"^file:(//)?", "")
@@ -50,7 +50,7 @@ def read_sources(spark: SparkSession, path: str, pattern: str | None = None) ->
         reader = (reader.option("recursiveFileLookup", "true")
                   .option("pathGlobFilter", pattern))
     df = reader.load(path)
-    return df.select(_plain_path(F.col("_metadata.file_path")).alias("file_path"),
+    return df.select(plain_path(F.col("_metadata.file_path")).alias("file_path"),
                      F.col("value").alias("content"))
 
 
