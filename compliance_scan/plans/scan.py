@@ -188,6 +188,9 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
 
     if summary is not None:
         framed = framed.join(summary, ["file_path", "chunk"], "left")
+    elif evidences:  # single-chunk files only: nothing to carry
+        framed = framed.withColumns({c: F.lit(None).cast("int")
+                                     for c in ["carry_brk"] + [f"carry_{e}" for e in evidences]})
     if evidences:
         brk = F.coalesce(F.col("prev_brk"), F.col("carry_brk"))
         for d, e in _EVIDENCE:
