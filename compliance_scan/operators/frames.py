@@ -86,15 +86,19 @@ def context_any(name: str) -> Column:
 # --- W5: brace-delimited method block ----------------------------------------
 
 def block_items() -> Column:
-    """Lines of the next 31 (anchor included) that matter for a block: braces or tokens.
+    """Brace-carrying lines among the next 31 (anchor included), in line order.
 
-    Lines without braces and without tokens are dropped (``collect_list``
-    skips NULLs), so the arrays stay short.
+    Lines without braces are dropped (``collect_list`` skips NULLs), so the
+    arrays stay short; tokens are tracked by ``first_in_block`` instead.
     """
-    item = F.struct(F.col("line_no").alias("line_no"), F.col("braces").alias("braces"),
-                    _f("personal").alias("personal"), _f("consent").alias("consent"))
-    keep = F.col("braces").isNotNull() | _f("personal") | _f("consent")
-    return F.collect_list(F.when(keep, item)).over(
+    item = F.struct(F.col("line_no").alias("line_no"), F.col("braces").alias("braces"))
+    return F.collect_list(F.when(F.col("braces").isNotNull(), item)).over(
+        line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
+
+
+def first_in_block(name: str) -> Column:
+    """First line carrying ``name`` among the next 31 (anchor included)."""
+    return F.min(F.when(_f(name), F.col("line_no"))).over(
         line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
 
 
@@ -128,6 +132,6 @@ def block_end(items: Column) -> Column:
     return F.aggregate(items, zero, per_line)["end"]
 
 
-def block_has(items: Column, end_line: Column, field: str) -> Column:
-    last = F.coalesce(end_line, F.lit(_MAX_LINE))
-    return F.exists(items, lambda x: x[field] & (x["line_no"] <= last))
+def block_has(first_line: Column, end_line: Column) -> Column:
+    """The block (anchor .. end, or the whole budget) contains ``first_line``."""
+    return F.coalesce(first_line <= F.coalesce(end_line, F.lit(_MAX_LINE)), F.lit(False))

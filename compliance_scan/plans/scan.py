@@ -173,6 +173,8 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
         cols.append(fr.context_any("optin").alias("ctx_optin"))
     if rules.CONSENT in ids:
         cols.append(fr.block_items().alias("blk"))
+        cols.append(fr.first_in_block("personal").alias("blk_first_personal"))
+        cols.append(fr.first_in_block("consent").alias("blk_first_consent"))
         cols.append(fr.block_last_line().alias("blk_last"))
     framed = prepared.select(*cols).where(F.col("core"))
 
@@ -183,8 +185,8 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
     if rules.CONSENT in ids:
         end = F.when(_f("mapping"), fr.block_end(F.col("blk")))
         framed = (framed.withColumn("blk_end", end)
-                  .withColumn("blk_personal", F.when(_f("mapping"), fr.block_has(F.col("blk"), F.col("blk_end"), "personal")))
-                  .withColumn("blk_consent", F.when(_f("mapping"), fr.block_has(F.col("blk"), F.col("blk_end"), "consent"))))
+                  .withColumn("blk_personal", fr.block_has(F.col("blk_first_personal"), F.col("blk_end")))
+                  .withColumn("blk_consent", fr.block_has(F.col("blk_first_consent"), F.col("blk_end"))))
 
     if summary is not None:
         framed = framed.join(summary, ["file_path", "chunk"], "left")
