@@ -32,24 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read
+from .words import words_of
 
 WINDOW = 13
 SHARE = 20  # contaminated: one word in SHARE or more is hit
 BLOCK_BYTES = 16 << 20
 
-# Bytes that part words become blanks; A-Z become a-z; digits, a-z and all bytes above 0x7F stay.
-_TABLE = bytes(i + 32 if 0x41 <= i <= 0x5A else i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else 0x20
-               for i in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 SPAN = "struct<start:int,end:int,item:string>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-
-
 class Windows:
     """The windows of one block of items: rolling hashes by window length, and what they stand for."""
 

@@ -79,15 +79,13 @@ class NbLinear:
         return 1.0 / (1.0 + np.exp(-np.clip(margins, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, ridge: float = 1e-3, steps: int = 60,
-        rate: float = 0.1) -> NbLinear:
+def _weights(y: np.ndarray) -> np.ndarray:
+    """Both classes weigh the same."""
+    return np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+
+
+def _learn(rows: list[np.ndarray], y: np.ndarray, smoothing: float, ridge: float, steps: int, rate: float) -> NbLinear:
     """Log-count ratios from the rows' places, then logistic regression by Adam on the scaled places."""
-    if not len(y):
-        return NbLinear()
-    mean = (y.sum() + 0.5) / (len(y) + 1)
-    model = NbLinear(intercept=float(np.log(mean / (1 - mean))))
-    if y.min() == y.max():
-        return model
     lengths = np.array([len(r) for r in rows])
     at = np.concatenate(rows)
     label = np.repeat(y, lengths)
@@ -97,23 +95,56 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, ridge: fl
     ratio[toxic + clean < 2 * smoothing + 3] = 0.0  # too rare to tell
     keep = np.abs(ratio[at]) > 0.1
     row = np.repeat(np.arange(len(y)), lengths)[keep]
-    at = at[keep]
-    used, at = np.unique(at, return_inverse=True)
-    r = ratio[used]
-    w, b, value = np.zeros(len(used)), model.intercept, r[at]
+    used, at = np.unique(at[keep], return_inverse=True)
+    value, weight = ratio[used][at], _weights(y)
+    w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     for t in range(1, steps + 1):
         margin = b + np.bincount(row, w[at] * value, len(y))
-        error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / len(y)
+        error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
         g = np.append(np.bincount(at, error[row] * value, len(used)) + ridge * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w, b = w - step[:-1] * 0.1, b - step[-1]
-    model.table = np.zeros(N_FEATURES)
-    model.table[used] = w * r
-    model.intercept = float(b)
-    return model
+    table = np.zeros(N_FEATURES)
+    table[used] = w * ratio[used]
+    return NbLinear(table, float(b))
+
+
+def _line(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over margins (Newton's steps, slightly held back)."""
+    x, beta = np.stack([margin, np.ones_like(margin)], 1), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        g = x.T @ (p - y) + 0.1 * (beta - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        beta = beta - np.clip(np.linalg.solve(h, g), -1, 1)
+    return float(max(beta[0], 1e-3)), float(beta[1])
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, ridge: float = 0.03, steps: int = 50,
+        rate: float = 0.1, folds: int = 3) -> NbLinear:
+    """The classifier on all rows, its margins calibrated on those that models of the other folds give."""
+    if not len(y):
+        return NbLinear()
+    mean = (y.sum() + 0.5) / (len(y) + 1)
+    if y.min() == y.max():
+        return NbLinear(intercept=float(np.log(mean / (1 - mean))))
+    how = (smoothing, ridge, steps, rate)
+    model = _learn(rows, y, *how)
+    if min(y.sum(), (1 - y).sum()) < 2 * folds:
+        return model
+    rank = np.empty(len(y), dtype=int)  # each class is dealt evenly
+    for k in (0, 1):
+        rank[y == k] = np.arange((y == k).sum())
+    unseen = np.empty(len(y))
+    for k in range(folds):
+        other = rank % folds != k
+        part = _learn([r for r, use in zip(rows, other) if use], y[other], *how)
+        for i in np.nonzero(~other)[0]:
+            unseen[i] = part.intercept + part.table[rows[i]].sum()
+    slope, shift = _line(unseen, y)
+    return NbLinear(model.table * slope, model.intercept * slope + shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT,
