@@ -86,8 +86,13 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> DataFrame:
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id", n_groups: int = N_GROUPS,
           size: Column | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``shard`` and ``slot``."""
+    """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``.
+
+    Size and checksum are taken before the exchange, so it carries the text
+    only if the caller selects it.
+    """
     sized = (docs.withColumn("size", text_size(F.col("text")) if size is None else size)
+             .withColumn("text_crc32", F.crc32("text"))
              .withColumn("_group", atomic_groups(docs, key, n_groups)))
     groups = sized.groupBy(F.col("_group").alias("g")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     cuts = minimax_cuts(groups, n_shards).select("starts")
@@ -95,7 +100,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id", n_grou
         F.col("g").alias("_group"), "n", F.size(F.filter("starts", lambda s: s <= F.col("g"))).alias("shard"))
     before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("_group", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_group").orderBy(F.col(key).asc_nulls_last(), "size", F.crc32("text"))
+    within = Window.partitionBy("_group").orderBy(F.col(key).asc_nulls_last(), "size", "text_crc32")
     return (sized.drop("shard", "slot", "_first").join(F.broadcast(placed), "_group")
             .withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
             .drop("_group", "_first"))
@@ -106,7 +111,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(sharded: DataFrame, *columns: str) -> DataFrame:
-    return sharded.select(*columns, "size", F.crc32("text").alias("text_crc32"), F.lit(LAW).alias("law"),
+    return sharded.select(*columns, "size", "text_crc32", F.lit(LAW).alias("law"),
                           "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
