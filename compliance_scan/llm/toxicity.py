@@ -33,7 +33,9 @@ FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 2_000
 N_FEATURES = 1 << 18
 GRAMS = (3, 4, 5)
+RARE = 3  # places in fewer texts of the sample tell nothing
 _PIECE = 1 << 20
+_BLOCK = 1 << 20  # places of the sample that a pass holds at a time
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -79,36 +81,66 @@ class NbLinear:
         return 1.0 / (1.0 + np.exp(-np.clip(margins, -40, 40)))
 
 
-def _weights(y: np.ndarray) -> np.ndarray:
-    """Both classes weigh the same."""
-    return np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-
-
-def _learn(rows: list[np.ndarray], y: np.ndarray, smoothing: float, ridge: float, steps: int, rate: float) -> NbLinear:
-    """Log-count ratios from the rows' places, then logistic regression by Adam on the scaled places."""
-    lengths = np.array([len(r) for r in rows])
-    at = np.concatenate(rows)
-    label = np.repeat(y, lengths)
-    toxic = np.bincount(at, label, N_FEATURES) + smoothing
-    clean = np.bincount(at, 1 - label, N_FEATURES) + smoothing
-    ratio = np.log(toxic / (y.sum() + 2 * smoothing)) - np.log(clean / ((1 - y).sum() + 2 * smoothing))
-    ratio[toxic + clean < 2 * smoothing + 3] = 0.0  # too rare to tell
-    keep = np.abs(ratio[at]) > 0.1
-    row = np.repeat(np.arange(len(y)), lengths)[keep]
-    used, at = np.unique(at[keep], return_inverse=True)
-    value, weight = ratio[used][at], _weights(y)
-    w, b = np.zeros(len(used)), 0.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+class Sample:
+    """The places of some texts, one after the other; passes over them go by blocks of bounded size."""
+
+    def __init__(self, at: np.ndarray, lengths: np.ndarray):
+        self.at, self.lengths = at, lengths
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        first, n = 0, len(self.lengths)
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(self.ends, self.ends[first] + _BLOCK, side="right")) - 1)
+            yield slice(first, last), self.at[self.ends[first]:self.ends[last]]
+            first = last
+
+    def totals(self, table: np.ndarray) -> np.ndarray:
+        """The table's sum over each text's places."""
+        out = np.zeros(len(self.lengths))
+        for rows, at in self._blocks():
+            some = self.lengths[rows] > 0
+            if len(at):
+                starts = (self.ends[rows] - self.ends[rows.start])[some]
+                out[rows][some] = np.add.reduceat(table[at], starts)
+        return out
+
+    def without_rare(self, least: int) -> Sample:
+        """The sample without places that fewer than ``least`` of its texts have."""
+        often = self.spread(np.ones(len(self.lengths))) >= least
+        kept = often[self.at]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        return Sample(self.at[kept], np.diff(before[self.ends]))
+
+    def spread(self, weight: np.ndarray) -> np.ndarray:
+        """For each place, the sum of the weights of the texts that have it."""
+        out = np.zeros(N_FEATURES)
+        for rows, at in self._blocks():
+            out += np.bincount(at, np.repeat(weight[rows], self.lengths[rows]), N_FEATURES)
+        return out
+
+
+def _learn(sample: Sample, y: np.ndarray, use: np.ndarray, smoothing: float, ridge: float, steps: int,
+           rate: float) -> NbLinear:
+    """Log-count ratios from the texts in ``use``, then logistic regression by Adam on the scaled places.
+
+    Both classes weigh the same.
+    """
+    one, none = use * y, use * (1 - y)
+    toxic, clean = sample.spread(one) + smoothing, sample.spread(none) + smoothing
+    ratio = np.log(toxic / (one.sum() + 2 * smoothing)) - np.log(clean / (none.sum() + 2 * smoothing))
+    ratio[(toxic + clean < 2 * smoothing + RARE) | (np.abs(ratio) <= 0.1)] = 0.0  # too rare or too even to tell
+    weight = 0.5 * one / max(1.0, one.sum()) + 0.5 * none / max(1.0, none.sum())
+    w, b = np.zeros(N_FEATURES), 0.0
+    m, v = np.zeros(N_FEATURES + 1), np.zeros(N_FEATURES + 1)
     for t in range(1, steps + 1):
-        margin = b + np.bincount(row, w[at] * value, len(y))
+        margin = b + sample.totals(w * ratio)
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        g = np.append(np.bincount(at, error[row] * value, len(used)) + ridge * w, error.sum())
+        g = np.append(sample.spread(error) * ratio + ridge * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w, b = w - step[:-1] * 0.1, b - step[-1]
-    table = np.zeros(N_FEATURES)
-    table[used] = w * ratio[used]
-    return NbLinear(table, float(b))
+    return NbLinear(w * ratio, float(b))
 
 
 def _line(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -122,16 +154,17 @@ def _line(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, ridge: float = 0.03, steps: int = 50,
-        rate: float = 0.1, folds: int = 3) -> NbLinear:
-    """The classifier on all rows, its margins calibrated on those that models of the other folds give."""
+def fit(sample: Sample, y: np.ndarray, smoothing: float = 1.0, ridge: float = 0.03, steps: int = 40,
+        rate: float = 0.1, folds: int = 2) -> NbLinear:
+    """The classifier on all texts, its margins calibrated on those that models of the other folds give."""
     if not len(y):
         return NbLinear()
     mean = (y.sum() + 0.5) / (len(y) + 1)
     if y.min() == y.max():
         return NbLinear(intercept=float(np.log(mean / (1 - mean))))
+    sample = sample.without_rare(RARE)
     how = (smoothing, ridge, steps, rate)
-    model = _learn(rows, y, *how)
+    model = _learn(sample, y, np.ones(len(y)), *how)
     if min(y.sum(), (1 - y).sum()) < 2 * folds:
         return model
     rank = np.empty(len(y), dtype=int)  # each class is dealt evenly
@@ -139,10 +172,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, ridge: fl
         rank[y == k] = np.arange((y == k).sum())
     unseen = np.empty(len(y))
     for k in range(folds):
-        other = rank % folds != k
-        part = _learn([r for r, use in zip(rows, other) if use], y[other], *how)
-        for i in np.nonzero(~other)[0]:
-            unseen[i] = part.intercept + part.table[rows[i]].sum()
+        out = rank % folds == k
+        part = _learn(sample, y, (~out).astype(float), *how)
+        unseen[out] = part.intercept + sample.totals(part.table)[out]
     slope, shift = _line(unseen, y)
     return NbLinear(model.table * slope, model.intercept * slope + shift)
 
@@ -160,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .select("doc_id", "y", place_row("text").alias("x"))
             .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "x").limit(2 * per_class).toArrow())
-    x, y = rows.column("x"), np.array(rows.column("y").to_pylist(), dtype=float)
-    return fit([np.asarray(v.values, dtype=np.int64) for v in x], y)
+    x = rows.column("x").combine_chunks()
+    lengths = x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return fit(Sample(x.flatten().to_numpy(), lengths), rows.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: NbLinear) -> DataFrame:
