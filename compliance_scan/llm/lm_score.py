@@ -115,8 +115,9 @@ def bigram_counts(docs: DataFrame, target_ids: DataFrame, words: Vocabulary) ->
         at = np.nonzero(sums[1])[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], schema=schema)
 
+    # The labels grow with the corpus, so this is a shuffle join at every size.
     good = target_ids.select("doc_id").distinct().withColumn("_good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
     return (marked.mapInArrow(count, "cell long, target long, background long")
             .groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
