@@ -8,7 +8,7 @@ single huge file from becoming a single task.  Only *core* rows are reported;
 halo rows are context.
 
 W2 (backward annotation run) is unbounded, so its per-chunk part here is
-completed by a carry from earlier chunks (``plans.scan.annotation_carry``).
+completed by a carry from earlier chunks (``plans.scan.chunk_summary``).
 """
 
 from __future__ import annotations

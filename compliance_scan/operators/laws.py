@@ -1,9 +1,7 @@
 """Law lookups as joins.
 
-The law table is a dimension table.  The bundled one has 40 rows; an
-override may be larger, so it is broadcast only when its row count is below
-``BROADCAST_MAX_ROWS`` (checked once), otherwise the join is left to Spark
-(sort-merge, or AQE's runtime broadcast when it turns out small).
+The law table is a dimension table of any size: joins carry no hint, so Spark
+broadcasts it below its size threshold and shuffles it beyond.
 """
 
 from __future__ import annotations
@@ -11,25 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.laws import BROADCAST_MAX_ROWS
-
-
-def _dim(laws: DataFrame) -> DataFrame:
-    """Broadcast the law table when its size is proven small."""
-    if laws.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
-        return F.broadcast(laws)
-    return laws
-
 
 def lookup(requests: DataFrame, laws: DataFrame, id_col: str = "id") -> DataFrame:
     """Every requested ID with its law row (NULL columns where unknown)."""
-    dim = _dim(laws)
+    dim = laws
     return requests.join(dim, requests[id_col] == dim["id"], "left").drop(dim["id"])
 
 
 def unknown_ids(requests: DataFrame, laws: DataFrame, id_col: str = "id") -> DataFrame:
     """A6 error case: requested IDs with no law row (left anti join)."""
-    dim = _dim(laws.select("id"))
+    dim = laws.select("id")
     return requests.join(dim, requests[id_col] == dim["id"], "left_anti")
 
 
@@ -41,7 +30,7 @@ def list_laws(laws: DataFrame) -> DataFrame:
 def expand_findings(findings: DataFrame, laws: DataFrame) -> DataFrame:
     """One row per (finding, related law) with the law's columns."""
     exploded = findings.select("*", F.posexplode("related_laws").alias("law_pos", "law_id"))
-    dim = _dim(laws).select(F.col("id").alias("law_id"), F.col("name_en").alias("law_name_en"),
+    dim = laws.select(F.col("id").alias("law_id"), F.col("name_en").alias("law_name_en"),
                             F.col("name_ko").alias("law_name_ko"),
                             F.col("risk_level").alias("law_risk_level"), F.col("url").alias("law_url"))
     return exploded.join(dim, "law_id", "left")

@@ -19,12 +19,11 @@ Two ordinals are offered:
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import need_checkpoint_dir
 
 ORDINAL_BUCKET_LINES = 1 << 16
 
@@ -57,8 +56,7 @@ def with_file_ordinal(findings: DataFrame, bucket_lines: int = ORDINAL_BUCKET_LI
 def with_global_ordinal(findings: DataFrame, order: list[Column] | None = None,
                         name: str = "ordinal") -> DataFrame:
     """1-based position of each row in ``order`` (default: report order) over the whole table."""
-    spark = findings.sparkSession
-    checkpoint_dir(spark) or checkpoint_dir(spark, tempfile.mkdtemp(prefix="compliance-scan-"))
+    need_checkpoint_dir(findings.sparkSession)
     ordered = findings.orderBy(*(order or walk_order())).checkpoint(eager=True)
     tagged = ordered.select("*", F.spark_partition_id().alias("_pid"),
                             F.monotonically_increasing_id().alias("_mid"))

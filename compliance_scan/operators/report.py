@@ -40,11 +40,11 @@ def summary(sources: DataFrame, findings: DataFrame, target: Column | str | None
         target = F.col("file_path")
     elif isinstance(target, str):
         target = F.lit(target)
-    files = sources.select(target.alias("target_path"), F.lit(1).alias("f"), F.lit(0).alias("n"))
-    hits = findings.select(target.alias("target_path"), F.lit(0).alias("f"), F.lit(1).alias("n"))
+    files = sources.select(target.alias("target_path"), F.lit(1).cast("long").alias("f"), F.lit(0).cast("long").alias("n"))
+    hits = findings.select(target.alias("target_path"), F.lit(0).cast("long").alias("f"), F.lit(1).cast("long").alias("n"))
     out = (files.unionByName(hits).groupBy("target_path")
-           .agg(F.sum("f").cast("int").alias("files_scanned"),
-                F.sum("n").cast("int").alias("total_findings")))
+           .agg(F.sum("f").alias("files_scanned"),
+                F.sum("n").alias("total_findings")))
     cols = [F.col("target_path"), F.col("files_scanned"), F.col("total_findings"),
             F.lit(rules.DISCLAIMER).alias("disclaimer")]
     if with_time:

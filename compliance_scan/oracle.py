@@ -196,17 +196,17 @@ def oracle_sql() -> dict[str, str]:
             "SELECT row_number() OVER (ORDER BY string_split(file_path, '/'), detector_ord, line_number) "
             "AS ordinal, file_path, detector_id, line_number FROM findings"),
         "report_summary": allc + (
-            "SELECT 'src' AS target_path, CAST((SELECT count(*) FROM keys) AS INTEGER) AS files_scanned, "
-            f"CAST((SELECT count(*) FROM findings) AS INTEGER) AS total_findings, {_s(rules.DISCLAIMER)} AS disclaimer"),
+            "SELECT 'src' AS target_path, CAST((SELECT count(*) FROM keys) AS BIGINT) AS files_scanned, "
+            f"CAST((SELECT count(*) FROM findings) AS BIGINT) AS total_findings, {_s(rules.DISCLAIMER)} AS disclaimer"),
         "report_row": allc + (
             "SELECT t.file_path AS target_path, 1 AS files_scanned, "
-            "CAST(count(f.file_path) AS INTEGER) AS total_findings, "
+            "CAST(count(f.file_path) AS BIGINT) AS total_findings, "
             f"{_s(rules.DISCLAIMER)} AS disclaimer "
             "FROM (SELECT DISTINCT file_path FROM lines) t LEFT JOIN findings f ON f.file_path = t.file_path "
             "GROUP BY t.file_path"),
         "report_by_folder": allc + (
-            "SELECT t.folder AS target_path, CAST(count(DISTINCT t.file_path) AS INTEGER) AS files_scanned, "
-            "CAST(count(f.file_path) AS INTEGER) AS total_findings, "
+            "SELECT t.folder AS target_path, CAST(count(DISTINCT t.file_path) AS BIGINT) AS files_scanned, "
+            "CAST(count(f.file_path) AS BIGINT) AS total_findings, "
             f"{_s(rules.DISCLAIMER)} AS disclaimer "
             "FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder FROM lines) t "
             "LEFT JOIN findings f ON f.file_path = t.file_path GROUP BY t.folder"),

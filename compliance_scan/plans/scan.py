@@ -6,10 +6,8 @@ Physical shape (see ``explain``):
 2. one projection evaluates every regex once per line and packs the results
    into an INT bitmask; the line text is kept only on trigger lines, so the
    shuffle carries flags, not text;
-3. the flagged lines are written once as a Parquet table under the
-   session's checkpoint folder (``materialize``): the regex pass runs exactly
-   once, lineage is cut, and both consumers below read only the columns they
-   need;
+3. both consumers below read that projection; ``materialized=True`` computes
+   it once with a reliable checkpoint instead of once per consumer;
 4. consumer A tags every line with its *chunk* (``(line_no-1) div
    chunk_lines``), copies it into neighbouring chunks whose frames reach it
    (halo: 10 lines back, 30 forward), shuffles ONCE on ``(file_path,
@@ -208,18 +206,18 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
 
 def frames(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
            num_partitions: int | None = None, only_triggers: bool = True,
-           materialized: bool = True) -> DataFrame:
+           materialized: bool = False) -> DataFrame:
     """Flag lines (once), then frame them; see the module docstring for the plan."""
     flagged = flag_lines(lines, specs)
     if materialized:
-        flagged = materialize(flagged, "scan-lines")
+        flagged = materialize(flagged)
     prepared = chunk_with_halo(flagged, chunk_lines, num_partitions)
     summary = chunk_summary(flagged, specs, chunk_lines)
     return frame_lines(prepared, specs, summary, only_triggers)
 
 
 def scan_lines(lines: DataFrame, detectors=None, chunk_lines: int = DEFAULT_CHUNK_LINES,
-               num_partitions: int | None = None, materialized: bool = True) -> DataFrame:
+               num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
     """Findings of the selected detectors (default all six) over a lines table."""
     specs = rules.resolve(detectors)
     framed = frames(lines, specs, chunk_lines, num_partitions, True, materialized)
@@ -228,11 +226,12 @@ def scan_lines(lines: DataFrame, detectors=None, chunk_lines: int = DEFAULT_CHUN
 
 def scan(sources: DataFrame, detectors=None, prefilter: bool = True,
          chunk_lines: int = DEFAULT_CHUNK_LINES, num_partitions: int | None = None,
-         materialized: bool = True) -> DataFrame:
+         materialized: bool = False) -> DataFrame:
     """Findings for a ``(file_path, content)`` table (one row per file).
 
-    With ``materialized`` (default) the flagged lines are written once to the
-    checkpoint folder when this is called; the returned DataFrame reads them.
+    By default nothing runs and nothing is written when this is called.  With
+    ``materialized`` the flagged lines are checkpointed once, which spares the
+    second regex pass.
     """
     specs = rules.resolve(detectors)
     if prefilter:

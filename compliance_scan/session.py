@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,28 +31,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder of the session; set ``fallback`` only if none is configured."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-        return spark.sparkContext.getCheckpointDir() or fallback
-    return None
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder that the session names in ``spark.checkpoint.dir`` (or has been given)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+def need_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, set on the context.
 
-    Used where one expensive intermediate feeds several consumers: it is
-    computed once, lineage is cut (a lost executor does not recompute it),
-    and each consumer reads only the columns it needs.  The folder comes from
-    the session (``spark.checkpoint.dir``); a temporary one is set only when
-    none is configured (local runs, tests).
+    A session on a plain local master gets a temporary folder where none is
+    named; a cluster must name one that the driver and all executors share.
     """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark) or checkpoint_dir(spark, tempfile.mkdtemp(prefix="compliance-scan-"))
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = checkpoint_dir(spark)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="compliance-scan-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once with a reliable checkpoint, for several consumers.
+
+    The files belong to Spark, which removes them with the DataFrame if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    need_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

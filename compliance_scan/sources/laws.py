@@ -33,7 +33,7 @@ LAWS: tuple[tuple[str, str, str, str, str, str], ...] = (
     ("ECA-13", "전자상거래 등에서의 소비자보호에 관한 법률 제13조", "E-Commerce Act Article 13 (Provision of Information on Identity and Transaction Conditions)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제13조", "MEDIUM", "Showing seller identity and trade terms"),
     ("ECA-14", "전자상거래 등에서의 소비자보호에 관한 법률 제14조", "E-Commerce Act Article 14 (Confirmation of Order)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제14조", "MEDIUM", "Confirming orders to the consumer"),
     ("ECA-17", "전자상거래 등에서의 소비자보호에 관한 법률 제17조", "E-Commerce Act Article 17 (Withdrawal of Subscription)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제17조", "HIGH", "Consumer withdrawal from a purchase"),
-    ("ECA-21", "전자상거래 등에서의 소비자보호에 관한 법률 제21조", "E-Commerce Act Article 21 (Use of Consumer Information)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제21조", "HIGH", "Practices that are barred toward consumers"),
+    ("ECA-21", "전자상거래 등에서의 소비자보호에 관한 법률 제21조", "E-Commerce Act Article 21 (Use of Consumer Information)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제21조", "HIGH", "Provisions that may concern how information about consumers is used"),
     ("ECA-24", "전자상거래 등에서의 소비자보호에 관한 법률 제24조", "E-Commerce Act Article 24 (Securing Safety of Cyber Mall)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제24조", "HIGH", "Safe operation of online shops"),
     ("ECA-26", "전자상거래 등에서의 소비자보호에 관한 법률 제26조", "E-Commerce Act Article 26 (Protection of Consumer Information)", "https://www.law.go.kr/법령/전자상거래등에서의소비자보호에관한법률/제26조", "HIGH", "Care for consumer information in online trade"),
     ("NIA-22", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제22조", "Network Act Article 22 (Consent for Collection and Use of Personal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제22조", "HIGH", "Consent for gathering user data online"),
@@ -41,11 +41,11 @@ LAWS: tuple[tuple[str, str, str, str, str, str], ...] = (
     ("NIA-23-2", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제23조의2", "Network Act Article 23-2 (Restrictions on Use of Resident Registration Numbers)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제23조의2", "HIGH", "Limits on resident registration numbers online"),
     ("NIA-24", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제24조", "Network Act Article 24 (Restrictions on Use of Personal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제24조", "HIGH", "Limits on using gathered user data"),
     ("NIA-24-2", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제24조의2", "Network Act Article 24-2 (Provision of Personal Information to Third Parties)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제24조의2", "HIGH", "Sharing user data with other parties"),
-    ("NIA-27", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제27조", "Network Act Article 27 (Protection Measures for Personal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제27조", "HIGH", "Appointing someone responsible for user data"),
-    ("NIA-28", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제28조", "Network Act Article 28 (Entrustment of Personal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제28조", "MEDIUM", "Safeguards for user data by service providers"),
+    ("NIA-27", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제27조", "Network Act Article 27 (Protection Measures for Personal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제27조", "HIGH", "Measures that may be expected to protect personal information"),
+    ("NIA-28", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제28조", "Network Act Article 28 (Entrustment of Personal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제28조", "MEDIUM", "Points that may apply when handling of personal information is entrusted to others"),
     ("NIA-28-2", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제28조의2", "Network Act Article 28-2 (Notification and Reporting of Personal Information Breach)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제28조의2", "HIGH", "Handling of user data leaks"),
     ("NIA-44", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제44조", "Network Act Article 44 (User Protection in Information and Communications Networks)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제44조", "MEDIUM", "Duties toward users of online services"),
-    ("NIA-44-7", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제44조의7", "Network Act Article 44-7 (Prohibition on Distribution of Illegal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제44조의7", "MEDIUM", "Kinds of content that may not be circulated"),
+    ("NIA-44-7", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제44조의7", "Network Act Article 44-7 (Prohibition on Distribution of Illegal Information)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제44조의7", "MEDIUM", "Kinds of information whose distribution may be prohibited"),
     ("NIA-50", "정보통신망 이용촉진 및 정보보호 등에 관한 법률 제50조", "Network Act Article 50 (Restrictions on Transmission of Advertising Information for Profit)", "https://www.law.go.kr/법령/정보통신망이용촉진및정보보호등에관한법률/제50조", "MEDIUM", "Opt-in before sending advertising messages"),
     ("PIPA-15", "개인정보 보호법 제15조", "PIPA Article 15 (Collection and Use of Personal Information)", "https://www.law.go.kr/법령/개인정보보호법/제15조", "HIGH", "A lawful basis, usually consent, before gathering personal data"),
     ("PIPA-17", "개인정보 보호법 제17조", "PIPA Article 17 (Provision of Personal Information to Third Parties)", "https://www.law.go.kr/법령/개인정보보호법/제17조", "HIGH", "Consent before handing personal data to others"),
@@ -59,11 +59,6 @@ LAWS: tuple[tuple[str, str, str, str, str, str], ...] = (
     ("PIPA-34", "개인정보 보호법 제34조", "PIPA Article 34 (Notification of Data Breach)", "https://www.law.go.kr/법령/개인정보보호법/제34조", "HIGH", "Telling people and the regulator about a leak"),
 )
 
-# Largest law table that is broadcast without a second look; bigger override
-# tables are joined by shuffle.
-BROADCAST_MAX_ROWS = 100_000
-
-
 def bundled_laws(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, lid, ko, en, summary, url, risk, None)
             for i, (lid, ko, en, url, risk, summary) in enumerate(LAWS)]
@@ -97,7 +92,14 @@ def load_laws(spark: SparkSession, path: str | None = None, fmt: str | None = No
     return laws
 
 
+def duplicate_ids(laws: DataFrame) -> DataFrame:
+    """Every law ID that occurs more than once, with its ``count``."""
+    return laws.groupBy("id").count().where("count > 1")
+
+
 def check_unique_ids(laws: DataFrame) -> None:
-    dups = [r["id"] for r in laws.groupBy("id").count().where("count > 1").limit(20).collect()]
-    if dups:
-        raise ValueError(f"duplicate law ID: {', '.join(sorted(map(str, dups)))}")
+    """Raises with the number of duplicate IDs and the first of them; ``duplicate_ids`` has all."""
+    dups = duplicate_ids(laws)
+    first = [str(r["id"]) for r in dups.orderBy("id").take(10)]
+    if first:
+        raise ValueError(f"duplicate law ID: {', '.join(first)} ({dups.count()} in all)")

@@ -11,7 +11,7 @@ given).
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,9 @@ def scan_stream(spark: SparkSession, folder: str, output: str, checkpoint: str |
         base = checkpoint_dir(spark)
         if base is None:
             raise ValueError("no checkpoint location: pass one or set spark.checkpoint.dir")
-        checkpoint = f"{base.rstrip('/')}/scan-stream-{uuid.uuid4().hex}"
+        # the same input and output resume the same progress
+        same = hashlib.sha256(f"{folder}\n{output}\n{pattern}".encode()).hexdigest()[:32]
+        checkpoint = f"{base.rstrip('/')}/scan-stream-{same}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         findings = scan(batch, detectors)

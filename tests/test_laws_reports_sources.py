@@ -166,3 +166,41 @@ def test_streaming_scan_of_arriving_files(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted((os.path.basename(r.file_path), r.detector_id) for r in rows) == [
         ("a.java", "CIA-ENC-001"), ("b.java", "PIPA-LOG-001")]
+
+
+def test_stream_restart_scans_each_file_once(spark, tmp_path):
+    from compliance_scan.streaming.files import scan_stream
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"F{k}.java").write_text('log.info("email " + email);\n')
+        if k in (1, 3):
+            scan_stream(spark, str(folder), str(out), max_files_per_trigger=1).awaitTermination()
+    found = spark.read.parquet(str(out)).select("file_path").collect()
+    assert len(found) == 4 and len(set(found)) == 4
+
+
+def test_scan_writes_nothing_and_a_cluster_needs_a_shared_folder(spark, tmp_path, monkeypatch):
+    import types
+
+    import pytest
+
+    from compliance_scan import session
+    from compliance_scan.plans.scan import scan
+
+    src = spark.createDataFrame([("a.java", 'log.info("email " + email);')], "file_path STRING, content STRING")
+    monkeypatch.setattr("compliance_scan.plans.scan.materialize", lambda df: pytest.fail("a plain scan must not materialise"))
+    assert scan(src).count() == 1
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    none = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(RuntimeError):
+        session.need_checkpoint_dir(none)
+
+
+def test_law_summaries_are_hedged_where_the_name_is_a_prohibition(spark):
+    from compliance_scan.sources.laws import LAWS
+
+    said = {row[0]: row[-1] for row in LAWS}
+    assert all(said[i] for i in said) and len(said) == 40
+    assert all("may" in said[i] for i in ("ECA-21", "NIA-27", "NIA-28", "NIA-44-7"))
