@@ -1,10 +1,8 @@
 """Line flags evaluated with RE2 in Arrow batches.
 
 Why not ``rlike``: ``java.util.regex`` backtracks through every alternative
-at every position.  On the sf0.1 corpus (3.9M lines) the 16 line
-predicates cost ~200 s over 8 JVM threads, while RE2 (a DFA engine, and the
-dialect the rules are written in) evaluates all 16 over the same lines in
-~12 s on one thread.  So the flag projection -- and only it -- runs as a
+at every position; RE2 is a DFA engine and the dialect the rules are written
+in.  So the flag projection -- and only it -- runs as a
 scalar Arrow UDF: Spark hands each task's lines to Python as an Arrow
 array, ``pyarrow.compute`` evaluates the RE2 patterns vectorised (C++), and
 an INT bitmask comes back.  No per-row Python.  Windows, joins, aggregations
