@@ -50,13 +50,13 @@ def refresh(laws: DataFrame, responses: DataFrame) -> DataFrame:
     """A10: laws with ``full_text`` from landed search responses ``(query, body)``.
 
     A law's query is its ``name_ko``.  The first ``law`` entry of a response
-    rooted at ``LawSearch`` gives the text; a missing, empty, non-XML or
+    rooted at ``LawSearch`` (comments may precede it) gives the text; a missing, empty, non-XML or
     differently rooted response leaves ``full_text`` NULL (the bundled row is
     kept, as the live lookup falls back to it).
     """
     parsed = responses.select(
         F.col("query"),
-        F.when(F.col("body").rlike(r"^\s*(<\?xml[^>]*\?>\s*)?<LawSearch[\s>]"),
+        F.when(F.col("body").rlike(r"(?s)^\s*(<\?xml[^>]*\?>\s*)?(?><!--.*?-->\s*)*<LawSearch[\s>]"),
                F.get(F.from_xml("body", RESPONSE_SCHEMA)["law"], 0)["조문내용"]).alias("full_text"))
     # one response per query: keep the first non-NULL text deterministically
     per_query = parsed.groupBy("query").agg(F.min("full_text").alias("full_text"))

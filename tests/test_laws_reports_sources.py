@@ -63,10 +63,12 @@ def test_refresh_from_landed_responses(spark):
         (names["PIPA-17"], "<LawSearch></LawSearch>"),
         (names["PIPA-18"], "not xml at all"),
         (names["PIPA-21"], "<Other><law><조문내용>x</조문내용></law></Other>"),
+        (names["PIPA-29"], "<!-- a -->\n<!-- b -->" + two),
+        ("unused", "<!-- a --><Other/><!-- b -->" + two),
     ], "query STRING, body STRING")
     got = {r.id: r.full_text for r in refresh(laws, responses).collect()}
     assert got == {"PIPA-15": "first text", "PIPA-17": None, "PIPA-18": None,
-                   "PIPA-21": None, "PIPA-29": None}
+                   "PIPA-21": None, "PIPA-29": "first text"}
 
 
 # --- reports (A3-A5, K1, K2) ------------------------------------------------------------
