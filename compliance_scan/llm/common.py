@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_A_TASK = 1 << 14  # narrow rows of a table kept between rounds that one task may hold at least
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,10 +32,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to hold at most ``rows`` narrow rows, in no more partitions than these need.
+
+    Rounds on small tables then make few tasks and files, whatever the session's number of
+    shuffle partitions; large tables keep their partitions.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
+
+    ``rows`` is an upper bound of its rows, where one is known and the rows are narrow.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else few(df, rows)).checkpoint()
 
 
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
