@@ -155,10 +155,10 @@ _FLAT = ("SELECT detector_id, risk_level, file_path, line_number, snippet, messa
          "array_to_string(related_laws, ',') AS related_laws FROM findings")
 
 _LAWS_VALUES = ",\n  ".join(
-    f"({i + 1}, {_s(lid)}, {_s(ko)}, {_s(en)}, {_s(url)}, {_s(risk)})"
-    for i, (lid, ko, en, url, risk, _summary) in enumerate(LAWS))
+    f"({i + 1}, {_s(lid)}, {_s(ko)}, {_s(en)}, {_s(url)}, {_s(risk)}, {_s(summary)})"
+    for i, (lid, ko, en, url, risk, summary) in enumerate(LAWS))
 _LAWS_CTE = (f"laws AS (SELECT * FROM (VALUES\n  {_LAWS_VALUES}) "
-             "AS t(ord, id, name_ko, name_en, url, risk_level))")
+             "AS t(ord, id, name_ko, name_en, url, risk_level, summary))")
 
 _CATALOG_VALUES = ",\n  ".join(
     f"({d.ord}, {_s(d.id)}, {_s(d.name)}, {_s(d.description)}, {_s(','.join(d.related_laws))}, {_s(d.risk_level)})"
@@ -168,6 +168,9 @@ _CATALOG_CTE = (f"catalog AS (SELECT * FROM (VALUES\n  {_CATALOG_VALUES}) "
 
 _CITED = "cited AS (SELECT UNNEST(related_laws) AS id FROM findings)"
 
+_REQUESTED = ("requested AS (SELECT id FROM cited UNION "
+              "SELECT 'REQ-' || CAST(k % 7 AS VARCHAR) FROM keys)")
+
 _BLOCK_FMT = ("--- Finding %d ---\n  Detector:  %s\n  Risk:      %s\n  Location:  %s:%d\n"
               "  Snippet:   %s\n  Message:   %s\n  Laws:      %s\n\n")
 
@@ -226,15 +229,20 @@ def oracle_sql() -> dict[str, str]:
             "FROM catalog c LEFT JOIN findings f ON f.detector_id = c.id "
             "GROUP BY c.detector_ord, c.id, c.name, c.description, c.related_laws, c.risk_level"),
         "law_list": allc[:-1] + ",\n" + _LAWS_CTE + ",\n" + _CITED + "\n" + (
-            "SELECT l.ord, l.id, l.name_ko, l.name_en, l.url, l.risk_level, "
-            "CAST(count(c.id) AS BIGINT) AS findings "
-            "FROM laws l LEFT JOIN cited c ON c.id = l.id "
-            "GROUP BY l.ord, l.id, l.name_ko, l.name_en, l.url, l.risk_level"),
-        "law_lookup": allc[:-1] + ",\n" + _LAWS_CTE + ",\n" + _CITED + "\n" + (
-            "SELECT r.id, l.name_ko, l.name_en, l.url, l.risk_level "
-            "FROM (SELECT DISTINCT id FROM cited) r LEFT JOIN laws l ON l.id = r.id"),
-        "law_unknown_ids": allc[:-1] + ",\n" + _LAWS_CTE + ",\n" + _CITED + "\n" + (
-            "SELECT DISTINCT id FROM cited WHERE id NOT IN (SELECT id FROM laws)"),
+            "SELECT l.ord, l.id, l.name_ko, l.name_en, l.summary, l.url, l.risk_level, "
+            "CAST((SELECT count(*) FROM cited c WHERE c.id = l.id) AS BIGINT) AS findings FROM laws l"),
+        "law_lookup": allc[:-1] + ",\n" + _LAWS_CTE + ",\n" + _CITED + ",\n" + _REQUESTED + "\n" + (
+            "SELECT r.id, l.name_ko, l.name_en, l.summary, l.url, l.risk_level "
+            "FROM requested r LEFT JOIN laws l ON l.id = r.id"),
+        "law_unknown_ids": allc[:-1] + ",\n" + _LAWS_CTE + ",\n" + _CITED + ",\n" + _REQUESTED + "\n" + (
+            "SELECT id FROM requested WHERE id NOT IN (SELECT id FROM laws)"),
+        "detector_law_coverage": allc[:-1] + ",\n" + _LAWS_CTE + ",\n" + _CATALOG_CTE + "\n" + (
+            "SELECT n.id AS detector_id, n.law_id, n.law_id IN (SELECT id FROM laws) AS known, "
+            "CAST((SELECT count(*) FROM findings f WHERE f.detector_id = n.id) AS BIGINT) AS findings "
+            "FROM (SELECT id, UNNEST(string_split(related_laws, ',')) AS law_id FROM catalog) n"),
+        "law_refresh": allc[:-1] + ",\n" + _LAWS_CTE + "\n" + (
+            "SELECT l.id, l.name_ko, (SELECT min('text ' || CAST(k AS VARCHAR)) FROM keys "
+            "WHERE k % 37 + 1 = l.ord AND k % 5 IN (0, 4)) AS full_text FROM laws l"),
         "findings_with_laws": allc[:-1] + ",\n" + _LAWS_CTE + "\n" + (
             "SELECT f.file_path, f.line_number, f.detector_id, x.law_id, l.name_en AS law_name_en, "
             "l.risk_level AS law_risk_level "

@@ -171,7 +171,7 @@ def detector_summary(spark, sf_dir):
     counts = findings(spark, sf_dir).groupBy(F.col("detector_id").alias("id")).agg(
         F.count(F.lit(1)).alias("findings"))
     cat = detector_catalog(spark)
-    return (F.broadcast(cat).join(counts, "id", "left")
+    return (cat.join(counts, "id", "left")
             .select("detector_ord", "id", "name", "description",
                     F.array_join("related_laws", ",").alias("related_laws"), "risk_level",
                     F.coalesce("findings", F.lit(0)).cast("long").alias("findings")))
@@ -181,24 +181,62 @@ def _cited(spark, sf_dir):
     return findings(spark, sf_dir).select(F.explode("related_laws").alias("id"))
 
 
+LAW_COLUMNS = ["name_ko", "name_en", "summary", "url", "risk_level"]
+
+
+def _requested(spark, sf_dir):
+    """Requested law IDs: every cited provision, and IDs made of the table's keys that no law has."""
+    keys = spark.read.parquet(f"{sf_dir}/{CORPUS_TABLE}.parquet").select(
+        F.concat(F.lit("REQ-"), (F.col("c_custkey") % 7).cast("string")).alias("id"))
+    return _cited(spark, sf_dir).unionByName(keys).distinct()
+
+
 def law_list(spark, sf_dir):
     """The law table in load order with the number of findings citing each law."""
     cites = _cited(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("findings"))
-    laws = load_laws(spark)
-    return (F.broadcast(laws).join(cites, "id", "left")
-            .select("ord", "id", "name_ko", "name_en", "url", "risk_level",
-                    F.coalesce("findings", F.lit(0)).cast("long").alias("findings")))
+    return (load_laws(spark).join(cites, "id", "left")
+            .select("ord", "id", *LAW_COLUMNS, F.coalesce("findings", F.lit(0)).cast("long").alias("findings")))
 
 
 def law_lookup(spark, sf_dir):
-    """Law rows of every provision cited by a finding."""
-    req = _cited(spark, sf_dir).distinct()
-    return law_ops.lookup(req, load_laws(spark)).select("id", "name_ko", "name_en", "url", "risk_level")
+    """The law row of every requested ID, NULL columns where the ID is unknown."""
+    return law_ops.lookup(_requested(spark, sf_dir), load_laws(spark)).select("id", *LAW_COLUMNS)
 
 
 def law_unknown_ids(spark, sf_dir):
-    """Cited provisions missing from the law table (expected: none)."""
-    return law_ops.unknown_ids(_cited(spark, sf_dir).distinct(), load_laws(spark))
+    """Requested IDs missing from the law table."""
+    return law_ops.unknown_ids(_requested(spark, sf_dir), load_laws(spark))
+
+
+def detector_law_coverage(spark, sf_dir):
+    """Every provision a detector names, whether the law table has it, and the detector's findings."""
+    counts = findings(spark, sf_dir).groupBy(F.col("detector_id").alias("id")).agg(F.count(F.lit(1)).alias("findings"))
+    named = detector_catalog(spark).select("id", F.explode("related_laws").alias("law_id"))
+    gaps = law_ops.detector_law_gaps(detector_catalog(spark), load_laws(spark)).select("id", "law_id", F.lit(False).alias("known"))
+    return (named.join(gaps, ["id", "law_id"], "left").join(counts, "id", "left")
+            .select(F.col("id").alias("detector_id"), "law_id", F.coalesce("known", F.lit(True)).alias("known"),
+                    F.coalesce("findings", F.lit(0)).cast("long").alias("findings")))
+
+
+def law_responses(spark, sf_dir):
+    """``(query, body)``: one landed search response per key, for the law at ``key % 37`` in load order.
+
+    By ``key % 5``: two entries, no entry, no XML, another root, and a comment before the root.
+    """
+    keys = spark.read.parquet(f"{sf_dir}/{CORPUS_TABLE}.parquet").select(F.col("c_custkey").alias("k"))
+    entry = "<law><법령명_한글>x</법령명_한글><조문내용>text %d</조문내용></law>"
+    shapes = [f"<LawSearch>{entry}<law><조문내용>a later entry</조문내용></law></LawSearch>",
+              "<LawSearch></LawSearch>", "not found", f"<Other>{entry}</Other>",
+              f"<!-- answer --><LawSearch>{entry}</LawSearch>"]
+    body = F.coalesce(*[F.when(F.col("k") % 5 == i, F.format_string(x, "k") if "%d" in x else F.lit(x))
+                        for i, x in enumerate(shapes)])
+    names = load_laws(spark).select("ord", F.col("name_ko").alias("query"))
+    return keys.withColumn("ord", (F.col("k") % 37 + 1).cast("int")).join(names, "ord").select("query", body.alias("body"))
+
+
+def law_refresh(spark, sf_dir):
+    """A10: every law with the text that the landed responses give it."""
+    return law_ops.refresh(load_laws(spark), law_responses(spark, sf_dir)).select("id", "name_ko", "full_text")
 
 
 def findings_with_laws(spark, sf_dir):
@@ -234,5 +272,7 @@ QUERIES = {
     "law_list": law_list,
     "law_lookup": law_lookup,
     "law_unknown_ids": law_unknown_ids,
+    "detector_law_coverage": detector_law_coverage,
+    "law_refresh": law_refresh,
     "findings_with_laws": findings_with_laws,
 }

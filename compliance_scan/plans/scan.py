@@ -209,6 +209,8 @@ def frames(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
            materialized: bool = False) -> DataFrame:
     """Flag lines (once), then frame them; see the module docstring for the plan."""
     flagged = flag_lines(lines, specs)
+    if only_triggers and all(s.id == rules.LOGGING for s in specs):
+        return flagged.where(_f("log"))  # a line tells it alone: no frame, no shuffle
     if materialized:
         flagged = materialize(flagged)
     prepared = chunk_with_halo(flagged, chunk_lines, num_partitions)
@@ -224,6 +226,14 @@ def scan_lines(lines: DataFrame, detectors=None, chunk_lines: int = DEFAULT_CHUN
     return det.line_findings(framed, specs)
 
 
+def own_findings(sources: DataFrame, detector, place: int) -> DataFrame:
+    """Findings of a caller's detector, the ``place``-th of them, in the columns of the others."""
+    after = max(s.ord for s in rules.DETECTORS) + 1 + place
+    types = {f.name: f.dataType for f in det.FINDING_SCHEMA}
+    return detector(sources).select(F.lit(after).alias("detector_ord"),
+                                    *[F.col(c).cast(types[c]).alias(c) for c in det.FINDING_FIELDS])
+
+
 def scan(sources: DataFrame, detectors=None, prefilter: bool = True,
          chunk_lines: int = DEFAULT_CHUNK_LINES, num_partitions: int | None = None,
          materialized: bool = False) -> DataFrame:
@@ -232,8 +242,16 @@ def scan(sources: DataFrame, detectors=None, prefilter: bool = True,
     By default nothing runs and nothing is written when this is called.  With
     ``materialized`` the flagged lines are checkpointed once, which spares the
     second regex pass.
+
+    ``detectors`` may also hold callables of one's own: each takes the sources
+    and returns the finding columns (``FINDING_FIELDS``); its findings stand
+    after those of the built-in detectors, in the order of the list.
     """
-    specs = rules.resolve(detectors)
-    if prefilter:
-        sources = prefilter_sources(sources, specs)
-    return scan_lines(to_lines(sources), specs, chunk_lines, num_partitions, materialized)
+    own = [d for d in detectors or () if callable(d)]
+    named = None if detectors is None else [d for d in detectors if not callable(d)]
+    parts = [own_findings(sources, d, i) for i, d in enumerate(own)]
+    if named is None or named or not own:
+        specs = rules.resolve(named)
+        kept = prefilter_sources(sources, specs) if prefilter else sources
+        parts.insert(0, scan_lines(to_lines(kept), specs, chunk_lines, num_partitions, materialized))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -11,9 +11,6 @@ from compliance_scan.plans.queries import QUERIES
 
 TABLES = ("customer", "orders")
 
-# coverage checks may legitimately be empty
-MAY_BE_EMPTY = {"law_unknown_ids"}
-
 
 def _norm(v):
     return "NULL" if v is None else str(v)
@@ -50,4 +47,4 @@ def test_query_matches_oracle(spark, name):
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
     assert _bag(df.columns, s_rows) == _bag(d_cols, d_rows)
-    assert len(s_rows) > 0 or name in MAY_BE_EMPTY
+    assert len(s_rows) > 0
