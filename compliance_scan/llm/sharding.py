@@ -1,35 +1,45 @@
 """Sharding: minimax contiguous partition of ordered atomic groups, in DataFrame operations only.
 
-Rows that agree on the key form an atomic unit; units are gathered by a hash
-into ``n_groups`` ordered atomic groups, a number that does not depend on the
-data.  One aggregation yields the groups' sizes.  In a single row that holds
-these sizes as an array, SQL higher-order functions binary-search the smallest
-capacity for which a greedy pass needs no more than ``n_shards`` shards, and a
-last greedy pass at that capacity gives the first group of each shard.
-
-Slots are gapless because a group's first slot is the row count of the groups
-before it in its shard, and rows are numbered inside their group only: no
-window ever holds a shard.
-
-Plan: two aggregations to ``n_groups`` rows, a broadcast of that table (three
-longs a group, so its size is fixed by the parameter) and one exchange of the
-rows by group.
+Rows of equal texts (null texts too) are an atomic group and never part; a
+group is named by a 63-bit hash of its text.  The order of the groups is fixed:
+first those larger than a cell's even share, then all others by hash.  The
+smallest capacity for which a greedy pass over *all groups* needs no more than
+``n_shards`` shards is found in SQL higher-order functions over a single row
+that holds an array of cells.
+
+A cell is a run of groups: at first a large group, or one of ``n_groups`` equal
+ranges of the hash.  Bounds of the capacity over these cells bound where each
+cut of the best greedy pass can stand; only the cells there are divided further,
+until each is a single group or few enough groups are left to stand alone.  The
+search over what is then known gives the groups' own smallest capacity, and the
+array stays small whatever the number of groups.
+
+Slots are gapless because the rows of a shard are counted by range of the hash
+and, where a range or a group has many rows, by a hash of the id too; rows are
+numbered inside such a part only, so no window holds a shard or a hot group
+(rows equal in id and text stay in one part).
+
+Plan: one aggregation to a row per text (three longs, checkpointed), some
+aggregations of that table to cells, one of the rows to parts, broadcasts of
+tables whose sizes are fixed by ``n_groups``, and one exchange of the rows.
 
 Defined results: a null text has no bytes, hence size 1, and a null checksum;
-empty texts have size 1; a null key is replaced by the text's hash; repeated
-rows are rows like any other; an empty table gives an empty result.  Input
-columns named like an output column are replaced.
+empty texts have size 1; repeated rows are rows like any other; a group larger
+than an even share makes its shard that much larger; an empty table gives an
+empty result.  Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 N_SHARDS = 16
-N_GROUPS = 1 << 14
+N_GROUPS = 1 << 14  # cells of the first search; a power of two
+PART_ROWS = 1024  # a part of this many rows is not divided for its slots
 LAW = "bytes"
 
 
@@ -37,9 +47,9 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def atomic_groups(docs: DataFrame, key: str = "doc_id", n_groups: int = N_GROUPS) -> Column:
-    """The ordered number of a row's atomic group: rows of one key never part."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.sha2(F.col("text"), 256))), F.lit(n_groups))
+def atomic_group(text: Column) -> Column:
+    """The atomic group of a row: 63 bits that depend on its text alone."""
+    return F.shiftrightunsigned(F.xxhash64(text), 1)
 
 
 def _greedy(sizes: Column, capacity: Column) -> Column:
@@ -84,26 +94,109 @@ def minimax_cuts(groups: DataFrame, n_shards: int) -> DataFrame:
     return found.select("capacity", _greedy(F.col("sizes"), F.col("capacity")).alias("starts"))
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id", n_groups: int = N_GROUPS,
-          size: Column | None = None) -> DataFrame:
+def _ends(cells: list, capacity: int, n_shards: int, low: bool) -> list[int]:
+    """Bounds of the first cuts of a greedy pass over the groups, counted in sizes.
+
+    What the pass reaches lies between these bounds: the lower ones stop before a cell that does
+    not fit, the upper ones cut cells of several groups anywhere.
+    """
+    ends = np.cumsum([c.size for c in cells])
+    out, at = [], 0
+    for _ in range(n_shards):
+        reach = at + capacity
+        i = int(np.searchsorted(ends, reach, side="right"))  # the cell that does not fit
+        at = int(ends[-1]) if i == len(cells) else int(ends[i]) - cells[i].size if low or cells[i].groups == 1 else reach
+        out.append(at)
+    return out
+
+
+def _least(cells: list, n_shards: int, low: bool, bottom: int, top: int) -> int:
+    total = sum(c.size for c in cells)
+    while bottom < top:
+        middle = (bottom + top) // 2
+        if _ends(cells, middle, n_shards, low)[-1] >= total:
+            top = middle
+        else:
+            bottom = middle + 1
+    return bottom
+
+
+def atomic_cuts(groups: DataFrame, n_shards: int, n_groups: int = N_GROUPS) -> tuple[int, list[int]]:
+    """The smallest capacity over all ``groups`` (``g``, their order, and ``size``), and the first ``g`` of every shard but the first.
+
+    Groups with a negative ``g`` are large: at most ``n_groups`` of them, each a cell.
+    """
+    shift = 64 - n_groups.bit_length()
+    key = F.when(F.col("g") < 0, F.col("g")).otherwise(F.shiftleft(F.shiftright("g", shift), shift))
+    while True:
+        made = groups.groupBy(key.alias("g")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("groups"),
+                                                  F.max("size").alias("most"))
+        cells = sorted(made.collect(), key=lambda c: c.g)
+        if not cells:
+            return 0, []
+        total, most = sum(c.size for c in cells), max(c.most for c in cells)
+        bottom = _least(cells, n_shards, False, max(most, -(-total // n_shards)), total)
+        top = _least(cells, n_shards, True, bottom, total)
+        ends, spans = np.cumsum([c.size for c in cells]), []
+        for low, high in zip(_ends(cells, bottom, n_shards, True)[:-1], _ends(cells, top, n_shards, False)[:-1]):
+            first, last = np.searchsorted(ends, [low, min(high, total - 1)], side="right")
+            spans.append((int(first), int(last)))
+        open_ = sorted({i for a, b in spans for i in range(a, b + 1) if i < len(cells) and cells[i].groups > 1})
+        if not open_ or shift == 0:
+            break
+        few = sum(cells[i].groups for i in open_) <= n_groups
+        shift = 0 if few else max(0, shift - max(1, (n_groups // len(open_)).bit_length() - 1))
+        runs: list[list[int]] = []  # neighbouring open cells, by their own first and the next cell's first g
+        for i in open_:
+            end = cells[i + 1].g if i + 1 < len(cells) else None
+            if runs and runs[-1][1] == cells[i].g:
+                runs[-1][1] = end
+            else:
+                runs.append([cells[i].g, end])
+        inside = F.lit(False)
+        for a, b in runs:
+            inside = inside | ((F.col("g") >= a) & (F.lit(True) if b is None else F.col("g") < b))
+        key = F.when((F.col("g") >= 0) & inside, F.shiftleft(F.shiftright("g", shift), shift)).otherwise(key)
+    found = minimax_cuts(made.select("g", "size"), n_shards).first()
+    return found.capacity, list(found.starts)
+
+
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_groups: int = N_GROUPS, size: Column | None = None) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
     Size and checksum are taken before the exchange, so it carries the text
     only if the caller selects it.
     """
-    sized = (docs.withColumn("size", text_size(F.col("text")) if size is None else size)
-             .withColumn("text_crc32", F.crc32("text"))
-             .withColumn("_group", atomic_groups(docs, key, n_groups)))
-    groups = sized.groupBy(F.col("_group").alias("g")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    cuts = minimax_cuts(groups, n_shards).select("starts")
-    placed = groups.crossJoin(F.broadcast(cuts)).select(
-        F.col("g").alias("_group"), "n", F.size(F.filter("starts", lambda s: s <= F.col("g"))).alias("shard"))
-    before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("_group", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_group").orderBy(F.col(key).asc_nulls_last(), "size", "text_crc32")
-    return (sized.drop("shard", "slot", "_first").join(F.broadcast(placed), "_group")
-            .withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
-            .drop("_group", "_first"))
+    sized = (docs.drop("shard", "slot").withColumn("size", text_size(F.col("text")) if size is None else size)
+             .withColumn("text_crc32", F.crc32("text")).withColumn("_group", atomic_group(F.col("text"))))
+    groups = cut(sized.groupBy("_group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    every = groups.agg(F.sum("size").alias("size"), F.sum("n").alias("n")).first()
+    large = F.col("size") * n_groups > (every.size or 0)  # fewer than n_groups
+    groups = groups.withColumn("g", F.when(large, F.col("_group") + F.lit(-(1 << 63))).otherwise(F.col("_group")))
+    _, starts = atomic_cuts(groups.select("g", "size"), n_shards, n_groups)
+
+    def placed(g: Column) -> Column:
+        shard = F.lit(0)
+        for k, start in enumerate(starts):
+            shard = F.when(g >= start, k + 1).otherwise(shard)
+        return shard
+
+    # A part is a large group or a range of the hash, divided by a hash of the id where it has many rows.
+    run = F.when(F.col("g") < 0, F.col("g")).otherwise(F.shiftright("g", 64 - n_groups.bit_length()))
+    rows = F.lit(max(PART_ROWS, 4 * (every.n or 0) // n_groups))
+    runs = groups.groupBy(run.alias("_run")).agg(F.ceil(F.sum("n") / rows).cast("long").alias("_parts"))
+    own = groups.where("g < 0").select("_group", F.col("g").alias("_g"))
+    at = sized.join(F.broadcast(own), "_group", "left").withColumn("g", F.coalesce("_g", "_group")).drop("_g")
+    at = at.withColumns({"_run": run, "shard": placed(F.col("g"))}).join(F.broadcast(runs), "_run")
+    at = at.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+    part = ["shard", "_run", "_part"]
+    before = Window.partitionBy("shard").orderBy("_run", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = (at.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+             .select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    within = Window.partitionBy(*part).orderBy("_group", F.col("doc_id").asc_nulls_last(), "size", "text_crc32")
+    return (at.withColumn("_row", F.row_number().over(within)).join(F.broadcast(first), part)
+            .withColumn("slot", F.col("_first") + F.col("_row") - 1)
+            .select(*[c for c in sized.columns if c != "_group"], "shard", "slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,35 @@ def test_sharding_runs_no_python(spark, awkward):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_equal_texts_share_a_shard_and_capacity_is_the_groups_own(spark):
+    rng = random.Random(41)
+    texts = [" ".join(_words(rng, rng.randrange(1, 60))) for _ in range(700)]
+    texts += [t for t in texts[:90] for _ in range(rng.randrange(1, 6))] + [texts[0]] * 300 + [None] * 40
+    docs = _docs(spark, texts).repartition(4)
+    shards, by = {}, Counter()
+    rows = sharding.shard(docs, 7).collect()
+    for r in rows:
+        shards.setdefault(r.text, set()).add(r.shard)
+        by[r.shard] += r.size
+    assert len(rows) == len(texts) and all(len(v) == 1 for v in shards.values())
+    assert len(by) <= 7
+
+
+@pytest.mark.parametrize("n_large", [0, 1, 5])
+def test_cuts_over_cells_are_those_of_the_single_groups(spark, n_large):
+    rng = random.Random(43 + n_large)
+    keys = sorted({rng.getrandbits(63) for _ in range(600)})
+    rows = [(k, rng.randrange(1, 400)) for k in keys]
+    rows = [(k - (1 << 63), rng.randrange(4_000, 9_000)) for k in sorted(rng.getrandbits(63) for _ in range(n_large))] + rows
+    groups = spark.createDataFrame(rows, "g long, size long").repartition(3)
+    sizes = [s for _, s in rows]
+    for k in (3, 16):
+        capacity, starts = sharding.atomic_cuts(groups, k, 32)
+        least = next(c for c in range(max(max(sizes), -(-sum(sizes) // k)), sum(sizes) + 1) if _fits(sizes, c, k))
+        cuts = [0, *[[g for g, _ in rows].index(next(x for x, _ in rows if x >= s)) for s in starts], len(rows)]
+        assert capacity == least == max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:]))
+
+
 # --- 4 and 9: classifiers ------------------------------------------------------------------
 
 
