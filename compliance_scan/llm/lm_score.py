@@ -6,17 +6,19 @@ as good, and a background model, counted over all documents.  The score is
 the mean over the tokens of the target model's loss less the background
 model's; the lower, the more a document resembles the target.
 
-The shared vocabulary is the ``N_WORDS`` most frequent words of the corpus;
-all other words share ``N_CLASSES`` classes by a hash, so every token counts
-and nothing is out of vocabulary.  A model is then a table of fixed size:
-(vocabulary + start) x vocabulary, Witten-Bell interpolated with add-one
-unigrams.
-
-Plan: word counts and bigram counts are gathered over whole texts inside map
-tasks and summed by Spark, so what is shuffled grows with the corpus; the
-documents meet the labels in one join.  What reaches the driver is the
-vocabulary and at most (V + 1) * V counts, a bound that does not depend on the
-corpus; the two tables (2 x 9 MB) are broadcast and scoring is a map.
+The vocabulary is every word of the corpus, each named by its 64-bit hash, and
+every observed bigram keeps its own counts; both models are Witten-Bell
+interpolated with add-one unigrams.  With ``n_words`` only that many of the most
+frequent words are kept apart and all others share ``n_classes`` classes.
+
+Plan: bigram counts are gathered over whole texts inside map tasks, summed by
+Spark and checkpointed; the documents meet the labels in one join.  Counts per context and per
+word come from the bigrams and are joined to them in ``SALTS`` copies, so the
+bigrams of a common word are many keys.  A document's own bigrams, counted in
+map tasks, are joined to the logarithms of their probabilities and summed per
+text, named by a 64-bit hash; the adaptive skew join splits common bigrams.
+All tables grow with the corpus and stay in Spark; nothing reaches the driver
+(with ``n_words``, that list).
 
 Defined results: null and empty texts have no tokens and score 0 in every
 column; equal texts have equal scores; without target documents the target
@@ -27,19 +29,22 @@ like an output column are replaced.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
-from .words import words_of
+from .common import cut, read
+from .words import WordHashes, words_of
 
-N_WORDS = 1024
 N_CLASSES = 512
+START = xxhash.xxh3_64_intdigest(b" ") - (1 << 63)  # before the first word; no word holds a blank
+SALTS = 8
+_TOKENS = 1 << 20  # that a task sorts at once
 _FLUSH = 300_000  # distinct words that a task holds
 
 
@@ -64,15 +69,11 @@ class Vocabulary(dict):
     def __reduce__(self):
         return Vocabulary, ([w for w, i in self.items() if i < self.listed], self.n_classes, self.room)
 
-    def cells(self, text: str | None) -> np.ndarray:
-        """The text's bigrams as numbers: previous * size + current; the first follows the start."""
-        words = words_of(text)
-        now = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        before = np.concatenate([[self.size], now[:-1]]) if len(now) else now
-        return before * self.size + now
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def vocabulary(docs: DataFrame, n_words: int = N_WORDS, n_classes: int = N_CLASSES) -> Vocabulary:
+def vocabulary(docs: DataFrame, n_words: int, n_classes: int = N_CLASSES) -> Vocabulary:
     """The most frequent words of all documents, ties by the word."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
@@ -97,29 +98,58 @@ def vocabulary(docs: DataFrame, n_words: int = N_WORDS, n_classes: int = N_CLASS
     return Vocabulary((bytes(r.word) for r in rows), n_classes)
 
 
-def bigram_counts(docs: DataFrame, target_ids: DataFrame, words: Vocabulary) -> DataFrame:
-    """``cell, target, background``: bigram counts over the target documents and over all."""
+def numbered(words: Vocabulary | None) -> Callable[[list[bytes]], np.ndarray]:
+    """The numbers of words: their hashes, or those of a vocabulary."""
+    if words is not None:
+        return words.of
+    hashes = WordHashes()
+    return lambda found: hashes.of(found).view(np.int64)
+
+
+def _counted(columns: list[np.ndarray], sums: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct rows of ``columns``, and the sums of ``sums`` over each."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.nonzero(new)[0]
+    return [c[at] for c in columns] + [np.add.reduceat(x[order], at) if len(at) else x for x in sums]
+
+
+def _bigrams(batches: Iterable[pa.RecordBatch], words: Vocabulary | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(second column, previous, current) of the tokens of (text, second column), in runs of about ``_TOKENS``."""
+    number = numbered(words)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    tokens = 0
+    for batch in batches:
+        for text, mark in zip(batch.column(0), batch.column(1).to_pylist()):
+            now = number(words_of(text.as_py()))
+            if len(now):
+                held.append((np.full(len(now), mark, dtype=np.int64), np.concatenate([[START], now[:-1]]), now))
+                tokens += len(now)
+            if tokens >= _TOKENS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, tokens = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def bigram_counts(docs: DataFrame, target_ids: DataFrame, words: Vocabulary | None = None) -> DataFrame:
+    """``previous, current, target, background``: bigram counts over the target documents and over all."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([("cell", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("previous", "current", "target", "background")])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        n = (known.size + 1) * known.size
-        sums = np.zeros((2, n), dtype=np.int64)
-        for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1)):
-                cells, times = np.unique(known.cells(text.as_py()), return_counts=True)
-                sums[1, cells] += times
-                if good.as_py():
-                    sums[0, cells] += times
-        at = np.nonzero(sums[1])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], schema=schema)
+        for good, before, now in _bigrams(batches, shared.value):
+            rows = _counted([before, now], [good, np.ones_like(good)])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows)), schema=schema)
 
     # The labels grow with the corpus, so this is a shuffle join at every size.
-    good = target_ids.select("doc_id").distinct().withColumn("_good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
-    return (marked.mapInArrow(count, "cell long, target long, background long")
-            .groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+    good = target_ids.select("doc_id").distinct().withColumn("_good", F.lit(1))
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("_good", F.lit(0)).alias("good"))
+    return (marked.mapInArrow(count, "previous long, current long, target long, background long")
+            .groupBy("previous", "current").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
 
 def log_model(counts: np.ndarray) -> np.ndarray:
@@ -134,40 +164,67 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(counts / total + (kinds[:, None] / total) * unigram).astype(np.float32)
 
 
-def train(docs: DataFrame, target_ids: DataFrame, n_words: int = N_WORDS,
-          n_classes: int = N_CLASSES) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    words = vocabulary(docs, n_words, n_classes)
-    rows = bigram_counts(docs, target_ids, words).toArrow()
-    models = []
-    for name in ("target", "background"):
-        counts = np.zeros((words.size + 1) * words.size, dtype=np.int64)
-        counts[rows.column("cell").to_numpy()] = rows.column(name).to_numpy()
-        models.append(log_model(counts.reshape(words.size + 1, words.size)).ravel())
-    return words, models[0], models[1]
+MODELS = ("target", "background")
+
+
+@dataclass
+class Model:
+    logs: DataFrame  # previous, current, target, background: natural logs of P(current | previous)
+    words: Vocabulary | None
+
+
+def log_probabilities(counts: DataFrame, size: int | None = None) -> DataFrame:
+    """``log_model`` of the observed bigrams; ``size`` is the vocabulary's, or the number of words seen."""
+    def salt(other: str) -> Column:
+        return F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+
+    def copies(table: DataFrame) -> DataFrame:
+        return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
+    contexts = counts.groupBy("previous").agg(
+        *[F.sum(m).alias(f"_seen_{m}") for m in MODELS],
+        *[F.sum((F.col(m) > 0).cast("long")).alias(f"_kinds_{m}") for m in MODELS])
+    once = counts.groupBy("current").agg(*[F.sum(m).alias(f"_once_{m}") for m in MODELS])
+    total = once.agg((F.count(F.lit(1)) if size is None else F.lit(size)).alias("_size"),
+                     *[F.sum(f"_once_{m}").alias(f"_total_{m}") for m in MODELS])
+    x = (counts.withColumn("_salt", salt("current")).join(copies(contexts), ["previous", "_salt"])
+         .withColumn("_salt", salt("previous")).join(copies(once), ["current", "_salt"]).crossJoin(F.broadcast(total)))
 
-SCORES = "struct<n_tokens:long,target_loss:double,background_loss:double>"
+    def log(m: str) -> Column:
+        kinds = F.greatest(F.col(f"_kinds_{m}"), F.lit(1))  # nothing seen: the unigrams alone
+        unigram = (F.col(f"_once_{m}") + 1) / (F.col(f"_total_{m}") + F.col("_size"))
+        return F.log((F.col(m) + kinds * unigram) / (F.col(f"_seen_{m}") + kinds)).alias(m)
 
+    return x.select("previous", "current", *map(log, MODELS))
 
-def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, np.ndarray]) -> DataFrame:
+
+def train(docs: DataFrame, target_ids: DataFrame, n_words: int | None = None, n_classes: int = N_CLASSES) -> Model:
+    words = None if n_words is None else vocabulary(docs, n_words, n_classes)
+    counts = cut(bigram_counts(docs, target_ids, words))  # three consumers
+    return Model(log_probabilities(counts, words and words.size), words)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``n_tokens``, ``target_loss``, ``background_loss`` (nats a token) and ``difference``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf(SCORES)
-    def losses(texts: pa.Array) -> pa.Array:
-        words, target, background = shared.value
-        rows = []
-        for t in texts:
-            cells = words.cells(t.as_py())
-            n = len(cells)
-            rows.append({"n_tokens": n, "target_loss": -float(target[cells].sum(dtype=np.float64)) / n if n else 0.0,
-                         "background_loss": -float(background[cells].sum(dtype=np.float64)) / n if n else 0.0})
-        return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("target_loss", pa.float64()),
-                                         ("background_loss", pa.float64())]))
-
-    out = docs.withColumn("_loss", losses("text"))
-    out = out.withColumns({c: F.col(f"_loss.{c}") for c in ("n_tokens", "target_loss", "background_loss")})
-    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).drop("_loss")
+    shared = docs.sparkSession.sparkContext.broadcast(model.words)
+    schema = pa.schema([(c, pa.int64()) for c in ("_text", "previous", "current", "_n")])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, before, now in _bigrams(batches, shared.value):
+            rows = _counted([text, before, now], [np.ones_like(text)])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows)), schema=schema)
+
+    made = ("n_tokens", "target_loss", "background_loss", "difference")
+    docs = docs.drop(*made)
+    own = docs.select("text", F.xxhash64("text").alias("_text")).mapInArrow(count, "_text long, previous long, current long, _n long")
+    # Copies of a text are summed together; each has one first word.
+    losses = (own.join(model.logs.hint("merge"), ["previous", "current"]).groupBy("_text")
+              .agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("previous") == START, F.col("_n"))).alias("_copies"),
+                   *[(-F.sum(F.col("_n") * F.col(m))).alias(f"_{m}") for m in MODELS]))
+    out = docs.withColumn("_text", F.xxhash64("text")).join(losses.hint("merge"), "_text", "left")
+    out = out.withColumns({"n_tokens": F.coalesce(F.floor(F.col("_all") / F.col("_copies")), F.lit(0)).cast("long"),
+                           **{f"{m}_loss": F.coalesce(F.col(f"_{m}") / F.col("_all"), F.lit(0.0)) for m in MODELS}})
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).select(*docs.columns, *made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,34 @@ def test_lm_rows_sum_to_one_and_awkward_rows(spark, awkward, nothing):
     assert lm_score.score(nothing, lm_score.train(nothing, none)).count() == 0
 
 
+def test_lm_keeps_every_word_and_bigram(spark, monkeypatch):
+    """Whole vocabulary: rare words keep their identity, and the losses are those of a dense table."""
+    monkeypatch.setattr(lm_score, "_TOKENS", 500)
+    rng = random.Random(47)
+    texts = [" ".join([*_words(rng, 30), *(f"rare{rng.randrange(4000)}" for _ in range(60))]) for _ in range(40)]
+    texts += ["good " * 9 + "onlygood", "good " * 9 + "onlybad"] + [texts[0]] * 3 + [None, ""]
+    docs = _docs(spark, texts).select("doc_id", "text").repartition(3)
+    target = [*range(0, 40, 4), 40]
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score(docs, lm_score.train(docs, ids)).collect()}
+
+    words = [words_of(t) for t in texts]
+    number = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+    size = len(number)
+    assert size > 1600
+    cells = [list(zip([size, *(number[w] for w in ws)], (number[w] for w in ws))) for ws in words]
+    assert len(got) == len(texts) and got[40].difference < got[41].difference
+    for which, name in ((target, "target_loss"), (range(len(texts)), "background_loss")):
+        counts = np.zeros((size + 1, size), dtype=np.int64)
+        for i in which:
+            for cell in cells[i]:
+                counts[cell] += 1
+        logs = lm_score.log_model(counts)
+        for i, own in enumerate(cells):
+            expected = -sum(float(logs[c]) for c in own) / len(own) if own else 0.0
+            assert got[i][name] == pytest.approx(expected, abs=1e-4) and got[i].n_tokens == len(own)
+
+
 # --- 3: sharding -----------------------------------------------------------------------
 
 
