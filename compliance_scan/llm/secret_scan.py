@@ -7,8 +7,9 @@ characters of the base64 and URL alphabets that a tiktoken vocabulary needs
 unusually many tokens for (fewer than ``MAX_RATIO`` characters a token).
 Ordinary words and identifiers are covered by long tokens; random strings are
 not.  Before the test, known digests (given ones, and hexadecimal strings of
-the usual digest lengths), UUIDs and identifiers made of words are excluded,
-and so is what a base span already covers.
+the usual digest lengths), UUIDs and identifiers whose every part is
+covered by long tokens are excluded, and so is what a base
+span already covers.
 
 Plan: one map over whole texts; the vocabulary file (``vocabulary``, a path
 readable on the driver, 0.8 MB) is broadcast as ranks and compiled once per
@@ -58,13 +59,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def is_identifier(run: str) -> bool:
-    """Words joined by case, underscores, dashes or slashes; numbers only as whole parts and not many."""
+def is_identifier(run: str, encoding: tiktoken.Encoding, max_ratio: float = MAX_RATIO) -> bool:
+    """Words, each covered by long tokens, joined by case, underscores, dashes or slashes; numbers only as whole parts and not many."""
     parts = _PARTS.findall(run)
     words = [p for p in parts if not p.isdigit()]
-    if not words:
-        return True  # a number, or signs alone
-    return sum(map(len, words)) / len(words) >= 4 and len(parts) - len(words) <= max(1, len(words) // 2)
+    if words and len(parts) - len(words) > max(1, len(words) // 2):
+        return False
+
+    def covered(part: str) -> bool:
+        tokens = len(encoding.encode_ordinary(part))
+        return len(part) >= max_ratio * tokens or part.isdigit() and tokens == 1
+
+    return all(map(covered, parts))  # signs alone have no part
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, known: Iterable[str] = (), max_ratio: float = MAX_RATIO,
@@ -72,13 +78,13 @@ def random_spans(text: str, encoding: tiktoken.Encoding, known: Iterable[str] =
     out, taken = [], list(taken)
     for m in _RUN.finditer(text):
         run = m[0]
-        if run in known or _UUID.fullmatch(run) or is_identifier(run):
+        if run in known or _UUID.fullmatch(run):
             continue
         if len(run) in _DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(run):
             continue
         if any(s < m.end() and m.start() < e for s, e, _ in taken):
             continue
-        if len(run) < max_ratio * len(encoding.encode_ordinary(run)):
+        if len(run) < max_ratio * len(encoding.encode_ordinary(run)) and not is_identifier(run, encoding, max_ratio):
             out.append((m.start(), m.end(), "random"))
     return out
 

@@ -411,6 +411,18 @@ def test_secrets_base_and_random_spans(spark, awkward, nothing):
     assert secret_scan.scan(awkward).count() == awkward.count() and secret_scan.scan(nothing).count() == 0
 
 
+def test_one_case_random_strings_are_judged_by_the_vocabulary():
+    encoding = secret_scan._encoding(secret_scan.read_ranks(secret_scan.VOCABULARY))
+    rng = random.Random(53)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95),
+                           ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.97)):
+        runs = ["".join(rng.choices(letters, k=24)) for _ in range(300)]
+        assert sum(secret_scan.random_spans(r, encoding) == [(0, 24, "random")] for r in runs) >= least * 300
+    for plain in ("internationalization_settings", "MAXIMUM_BUFFER_LENGTH_LIMIT", "/home/service/deploy/config",
+                  "getCustomerSubscriptionCallback2", "=" * 40, "2024-05-06/2024-05-07-10-11"):
+        assert secret_scan.random_spans(plain, encoding) == []
+
+
 # --- 7: mixing ---------------------------------------------------------------------------------------
 
 
