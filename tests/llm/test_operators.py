@@ -423,6 +423,18 @@ def test_one_case_random_strings_are_judged_by_the_vocabulary():
         assert secret_scan.random_spans(plain, encoding) == []
 
 
+def test_random_strings_behind_paths_and_names_are_found():
+    encoding = secret_scan._encoding(secret_scan.read_ranks(secret_scan.VOCABULARY))
+    secret, short, digest = "qZ8xK3vTn5Lw9RbY2mPd7HsJ", "q8ZxK3vTn5Lw", "0a1b2c3d4e" * 4
+    for before in ("/home/service/deploy/config/production/", "api/v1/customers/subscription/callback/key=", f"/{digest}/",
+                   "123e4567-e89b-12d3-a456-426614174000/"):
+        for own in (secret, short, "q8Zx-K3vTn5L_w9Rb"):
+            text = f"see {before}{own}/readme now"
+            spans = secret_scan.random_spans(text, encoding, (), taken=secret_scan.base_spans(text))
+            assert [text[s:e] for s, e, _ in spans] == [own]
+    assert secret_scan.random_spans(f"see /path/{secret}/readme", encoding, [secret]) == []
+
+
 # --- 7: mixing ---------------------------------------------------------------------------------------
 
 
