@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import (chat_template, collision_ann, decontaminate, lm_score, mixing, order_minhash, quality_gam, secret_scan,
-               sharding, toxicity)
+               sharding, token_counts, toxicity)
 
 QUERIES = {
     "op1_order_minhash": order_minhash.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_quality_gam": quality_gam.query,
     "op10_collision_ann": collision_ann.query,
+    "op13_token_counts": token_counts.query,
     "pipeline": corpus_pipeline.run,
 }
 
