@@ -13,7 +13,7 @@ the library like any other miss.
 Plan: one map over whole texts, no shuffle of texts or pre-tokens.  The
 frequent words come from a bounded look at the corpus: up to ``SAMPLED_PARTS``
 partitions spread over the table, together ``SAMPLE_BYTES`` of text, each
-counted in its task and cut to its most frequent words.  That look only decides
+counted in its task and cut to the words it met twice or more.  That look only decides
 what is encoded beforehand: the counts are the same with any table, also an
 empty one.  The vocabulary file is read on the driver and broadcast as text
 (1.7 MB), so executors need no such file.
@@ -49,7 +49,7 @@ from .common import read
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048           # tokens beyond which a document is over the limit
 FREQUENT = 1 << 16     # words in the broadcast table at most
-SAMPLED_PARTS = 256    # partitions that are looked at for frequent words
+SAMPLED_PARTS = 64     # partitions that are looked at for frequent words
 SAMPLE_BYTES = 16 << 20
 CACHE_WORDS = 1 << 19  # cached lengths in a worker; the older half goes when it is full
 PIECE_BYTES = 1 << 20
@@ -175,7 +175,7 @@ def _look(parts: int, chosen: int, each: int, words: int):
                         break
                 if size >= each:
                     break
-        top = seen.most_common(words)
+        top = [(w, n) for w, n in seen.most_common(words) if n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()),
                                           pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
@@ -184,20 +184,17 @@ def _look(parts: int, chosen: int, each: int, words: int):
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = FREQUENT,
                    sample_bytes: int = SAMPLE_BYTES) -> list[bytes]:
-    """Up to ``most`` words that a bounded look at ``docs`` meets at least twice, most frequent first."""
+    """Up to ``most`` words that a task of a bounded look at ``docs`` meets twice or more, most frequent first."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
     parts = texts.rdd.getNumPartitions()
     chosen = min(parts, SAMPLED_PARTS)
     if not chosen:
         return []
     each = max(1, sample_bytes // chosen)
-    # a task returns the words of its share of the sample, so all tasks together at most sample_bytes
-    found = texts.mapInArrow(_look(parts, chosen, each, most), "word binary, n long").collect()
-    total = Counter()
-    for r in found:
-        total[bytes(r.word)] += r.n
-    ranked = sorted(((-n, w) for w, n in total.items() if n > 1))
-    return [w for _, w in ranked[:most]]
+    # a task returns some of the words of its share of the sample, so all tasks together less than sample_bytes
+    found = texts.mapInArrow(_look(parts, chosen, each, most), "word binary, n long").toArrow()
+    total = found.group_by("word").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("word", "ascending")])
+    return total.column("word").slice(0, most).to_pylist()
 
 
 _WORKERS: dict[int, TokenCounter] = {}
