@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import (chat_template, collision_ann, decontaminate, lm_score, mixing, order_minhash, quality_gam, secret_scan,
+from . import (chat_template, collision_ann, decontaminate, lm_score, merkle, mixing, order_minhash, quality_gam, secret_scan,
                sharding, token_counts, toxicity)
 
 QUERIES = {
@@ -18,8 +18,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_quality_gam": quality_gam.query,
     "op10_collision_ann": collision_ann.query,
+    "op12_merkle_manifest": merkle.query,
     "op13_token_counts": token_counts.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op8_decontaminate": decontaminate.ORACLE}
+ORACLE = {"op8_decontaminate": decontaminate.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
