@@ -1,23 +1,31 @@
 """Line flags evaluated with RE2 in Arrow batches.
 
+``file_flags`` does it for whole texts (one list of flags per file, in the pass
+that also drops files without a candidate), ``line_flags`` for tables of lines,
+and ``matched_field`` takes the reported field out of candidate lines.
+
 Why not ``rlike``: ``java.util.regex`` backtracks through every alternative
 at every position; RE2 is a DFA engine and the dialect the rules are written
 in.  So the flag projection -- and only it -- runs as a
 scalar Arrow UDF: Spark hands each task's lines to Python as an Arrow
 array, ``pyarrow.compute`` evaluates the RE2 patterns vectorised (C++), and
-an INT bitmask comes back.  No per-row Python.  Windows, joins, aggregations
-and shuffles stay in Spark; the Java translations in ``rules`` remain for
-field extraction and snippet trimming on finding rows.
+an INT bitmask comes back.  No per-row Python.  The flag UDFs are declared
+non-deterministic, which they are not, so that a filter on their result stays
+above them instead of evaluating them a second time.  Contexts, windows, joins and
+aggregations stay in Spark.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from .. import rules
-from .text import FLAG_BITS
+from .text import FLAG_BITS, RUN_BITS
 
 # flag -> (pattern name, only on non-comment lines)
 FLAG_PATTERNS = {
@@ -71,23 +79,97 @@ def line_flags(line: Column, names, with_braces: bool = False) -> Column:
     """INT bitmask of ``names`` (or ``struct<flags, braces>`` with the line's brace characters)."""
     names = tuple(names)
     rtype = "struct<flags:int,braces:string>" if with_braces else "int"
-    return arrow_udf(_flag_kernel(names, with_braces), rtype)(line)
+    return arrow_udf(_flag_kernel(names, with_braces), rtype).asNondeterministic()(line)
+
+
+def _any_match(texts: pa.Array, patterns) -> pa.Array:
+    import pyarrow.compute as pc
 
+    out = pa.nulls(len(texts), pa.bool_()).fill_null(False)
+    for p in patterns:
+        out = pc.or_(out, pc.fill_null(pc.match_substring_regex(texts, p), False))
+    return out
+
+
+def matches_any(text: Column, pattern_names) -> Column:
+    """True where ``text`` contains a match of any named pattern (RE2, unanchored)."""
+    pats = tuple(rules.re2(n) for n in sorted(set(pattern_names)))
+    return arrow_udf(lambda texts: _any_match(texts, pats), "boolean")(text)
+
+
+def _annotated(flags: np.ndarray, starts: np.ndarray, evidence: int) -> np.ndarray:
+    """Whether the annotation lines right above a line hold ``evidence`` (files begin at ``starts``)."""
+    at = np.arange(len(flags))
+    annot = flags & (1 << FLAG_BITS["annot"]) != 0
+    first = np.zeros(len(flags), dtype=np.int64)
+    first[starts] = starts
+    first = np.maximum.accumulate(first)  # a file's first line
+    last_break = np.maximum.accumulate(np.where(annot, -1, at))
+    last_evidence = np.maximum.accumulate(np.where(annot & (flags & evidence != 0), at, -1))
+    above = np.maximum(at - 1, 0)
+    return (at > first) & (last_evidence[above] > np.maximum(last_break[above], first - 1))
+
+
+def _file_kernel(names: tuple[str, ...], triggers: tuple[str, ...]):
+    per_line = _flag_kernel(names, False)
+    runs = [(1 << FLAG_BITS[e], 1 << RUN_BITS[run]) for run, e in (("run_enc", "enc_ev"), ("run_prot", "prot_ev")) if e in names]
 
-def _any_kernel(patterns: tuple[str, ...]):
     def kernel(texts: pa.Array) -> pa.Array:
         import pyarrow.compute as pc
 
-        out = None
-        for p in patterns:
-            hit = pc.fill_null(pc.match_substring_regex(texts, p), False)
-            out = hit if out is None else pc.or_(out, hit)
+        kept = _any_match(texts, triggers) if triggers else pc.is_valid(texts)
+        lists = pc.split_pattern(texts.filter(kept), "\n")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flags = per_line(lists.flatten()).to_numpy(zero_copy_only=False).copy()
+        starts = np.cumsum(sizes) - sizes
+        for evidence, run in runs:
+            flags[_annotated(flags, starts, evidence)] |= run
+        mask = ~kept.to_numpy(zero_copy_only=False)
+        offsets = np.zeros(len(texts) + 1, dtype=np.int32)
+        offsets[1:][~mask] = sizes
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(flags), mask=pa.array(mask))
+
+    return kernel
+
+
+def file_flags(content: Column, names, triggers=()) -> Column:
+    """``array<int>``: the flags of every line of a text, by lines split on ``\\n``.
+
+    Where evidence of an annotation run is asked for, a line also has the flag
+    of the run right above it.  With ``triggers`` (pattern names) the result is
+    NULL for texts that match none of them anywhere; no trigger uses ``^`` or
+    ``$``, so a line that matches is also a match in its text.
+    """
+    pats = tuple(rules.re2(n) for n in sorted(set(triggers)))
+    return arrow_udf(_file_kernel(tuple(names), pats), "array<int>").asNondeterministic()(content)
+
+
+_GROUP = re.compile(r"(?<!\\)\((?!\?)")
+
+
+def _named(pattern: str) -> str:
+    """``pattern`` as group ``g0``, with its groups named ``g1``, ``g2`` ... in order."""
+    numbers = iter(range(1, 100))
+    return "(?P<g0>" + _GROUP.sub(lambda _: f"(?P<g{next(numbers)}>", pattern) + ")"
+
+
+def _field_kernel(fields: tuple[tuple[int, str, int], ...]):
+    def kernel(lines: pa.Array, which: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        out = pa.nulls(len(lines), pa.string())
+        for number, pattern, group in fields:
+            mine = pc.fill_null(pc.equal(which, number), False)
+            found = pc.struct_field(pc.extract_regex(lines.filter(mine), _named(pattern)), f"g{group}")
+            out = pc.replace_with_mask(out, mine, found)
         return out
 
     return kernel
 
 
-def matches_any(text: Column, pattern_names) -> Column:
-    """True where ``text`` contains a match of any named pattern (RE2, unanchored)."""
-    pats = tuple(rules.re2(n) for n in sorted(set(pattern_names)))
-    return arrow_udf(_any_kernel(pats), "boolean")(text)
+def matched_field(line: Column, which: Column, fields) -> Column:
+    """Leftmost-first match, or a group of it, of the pattern that ``which`` numbers; NULL without a match.
+
+    ``fields`` lists ``(number, pattern name, group)``; group 0 is the whole match.
+    """
+    return arrow_udf(_field_kernel(tuple((n, rules.re2(p), g) for n, p, g in fields)), "string")(line, which)

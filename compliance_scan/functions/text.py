@@ -57,6 +57,9 @@ FLAG_BITS = {
     "retained": 15,  # retention / destruction evidence, non-comment
 }
 
+# set on whole texts only: the annotation lines right above hold such evidence
+RUN_BITS = {"run_enc": 16, "run_prot": 17}
+
 # which flags each detector reads
 DETECTOR_FLAGS = {
     rules.LOGGING: ("log",),
@@ -112,5 +115,5 @@ def pack_flags(line: Column, names) -> Column:
 
 def flag(flags: Column, name: str) -> Column:
     """Unpack one flag from the bitmask."""
-    bit = 1 << FLAG_BITS[name]
+    bit = 1 << (FLAG_BITS[name] if name in FLAG_BITS else RUN_BITS[name])
     return flags.bitwiseAND(F.lit(bit)) != 0

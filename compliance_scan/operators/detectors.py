@@ -1,10 +1,9 @@
 """Detectors D1-D6 as column expressions over framed lines.
 
 Each detector is a ``when(condition, finding_struct)`` over a framed
-trigger line; the scan puts all selected detectors in one array per line and
-explodes it, so the lines are read once for all of them.  D6 (file-wide
-evidence, first record per file) reads the file-level columns that the chunk
-summary joins onto each trigger line.
+candidate line; the scan puts all selected detectors in one array per line and
+explodes it, so the lines are read once for all of them.  The reported field
+is taken out of the finding rows by RE2, the dialect of the rules.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules
-from ..functions.text import extract, flag, unicode_trim
+from ..functions import re2
+from ..functions.text import flag, unicode_trim
 
 FINDING_FIELDS = ("detector_id", "risk_level", "file_path", "line_number",
                   "snippet", "message", "related_laws")
@@ -36,22 +36,30 @@ def _f(name: str) -> Column:
 
 
 def finding(spec: rules.DetectorSpec, file_path: Column, line_no: Column, line: Column) -> Column:
-    if spec.field_group is None:
-        message = F.lit(spec.message)
-    else:
-        message = F.format_string(spec.message, extract(line, spec.trigger, spec.field_group))
+    """A finding without its message: ``line`` is kept until the field is taken out of it."""
     return F.struct(
         F.lit(spec.ord).alias("detector_ord"),
         F.lit(spec.id).alias("detector_id"),
         F.lit(spec.risk_level).alias("risk_level"),
         file_path.alias("file_path"),
         line_no.cast("int").alias("line_number"),
-        unicode_trim(line).alias("snippet"),
-        message.alias("message"),
+        line.alias("line"),
         F.array(*[F.lit(x) for x in spec.related_laws]).alias("related_laws"),
     )
 
 
+def with_message(found: DataFrame, specs) -> DataFrame:
+    """``found`` with the detector's message, and in it the field that its trigger matched in the line."""
+    fields = [(s.ord, s.trigger, s.field_group) for s in specs if s.field_group is not None]
+    which = F.col("detector_ord")
+    out = found.withColumn("field", re2.matched_field(F.col("line"), which, fields) if fields else F.lit(""))
+    text = F.lit(None).cast("string")
+    for s in specs:
+        head, named, tail = s.message.partition("%s")
+        text = F.when(which == s.ord, F.concat(F.lit(head), F.col("field"), F.lit(tail)) if named else F.lit(head)).otherwise(text)
+    return out.withColumn("message", text)
+
+
 # --- conditions on a framed line (columns produced by plans.scan.frame_lines) --
 
 def condition(spec: rules.DetectorSpec) -> Column:
@@ -78,7 +86,10 @@ def line_findings(framed: DataFrame, specs) -> DataFrame:
     per_line = [F.when(condition(s), finding(s, F.col("file_path"), F.col("line_no"), F.col("line")))
                 for s in specs]
     arr = F.filter(F.array(*per_line), lambda x: x.isNotNull())
-    return framed.select(F.explode(arr).alias("f")).select("f.*")
+    found = framed.select(F.explode(arr).alias("f")).select("f.*")
+    return with_message(found, specs).select(
+        "detector_ord", "detector_id", "risk_level", "file_path", "line_number",
+        unicode_trim(F.col("line")).alias("snippet"), "message", "related_laws")
 
 
 def detector_catalog(spark: SparkSession) -> DataFrame:

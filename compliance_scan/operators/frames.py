@@ -7,6 +7,10 @@ plus halo rows copied from its neighbours (see ``plans.scan``), which keeps a
 single huge file from becoming a single task.  Only *core* rows are reported;
 halo rows are context.
 
+Frames are RANGE frames on the line number, so lines that carry no flag and
+no brace need not be there at all: the scan leaves them out before the
+exchange.
+
 W2 (backward annotation run) is unbounded, so its per-chunk part here is
 completed by a carry from earlier chunks (``plans.scan.chunk_summary``).
 """
@@ -39,12 +43,31 @@ def _f(name: str) -> Column:
 
 # --- W2: backward contiguous run of annotation lines ------------------------
 
-def previous_break() -> Column:
-    """Last core line before this one that is not an annotation (ends any run)."""
-    return F.max(F.when(F.col("core") & ~_f("annot"), F.col("line_no"))).over(
+def previous_annotation() -> Column:
+    """Last core annotation line before this one."""
+    return F.max(F.when(F.col("core") & _f("annot"), F.col("line_no"))).over(
         line_order().rowsBetween(UNBOUNDED, -1))
 
 
+def run_start(prev_annotation: Column) -> Column:
+    """The line number where a run of annotation lines begins, NULL on all other lines."""
+    follows = F.coalesce(prev_annotation == F.col("line_no") - 1, F.lit(False))
+    return F.when(F.col("core") & _f("annot") & ~follows, F.col("line_no"))
+
+
+def previous_break(prev_annotation: Column, start: Column, first_line: Column) -> Column:
+    """Last line of the chunk before this one that is not an annotation (ends any run); NULL if there is none.
+
+    Lines that are not there are no annotations, so the line before a run is
+    the break of every line in it and right after it.
+    """
+    last_start = F.max(start).over(line_order().rowsBetween(UNBOUNDED, -1))
+    in_run = prev_annotation == F.col("line_no") - 1
+    return (F.when(F.col("line_no") == first_line, F.lit(None).cast("int"))
+            .when(in_run, F.when(last_start > first_line, last_start - 1))
+            .otherwise(F.col("line_no") - 1))
+
+
 def previous_annotated_evidence(evidence: str) -> Column:
     """Last core annotation line before this one carrying ``evidence``."""
     return F.max(F.when(F.col("core") & _f("annot") & _f(evidence), F.col("line_no"))).over(
@@ -61,14 +84,14 @@ def annotation_run_has(prev_evidence: Column, prev_break: Column) -> Column:
 def forward_stop() -> Column:
     """First non-comment declaration or annotation line among the next N lines."""
     return F.min(F.when(~_f("c") & (_f("decl") | _f("annot")), F.col("line_no"))).over(
-        line_order().rowsBetween(1, rules.FORWARD_EVIDENCE_LINES))
+        line_order().rangeBetween(1, rules.FORWARD_EVIDENCE_LINES))
 
 
 def forward_evidence_line(evidence: str) -> Column:
     """First plain code line with ``evidence`` among the next N lines (comments are skipped)."""
     plain = ~_f("c") & ~_f("decl") & ~_f("annot")
     return F.min(F.when(plain & _f(evidence), F.col("line_no"))).over(
-        line_order().rowsBetween(1, rules.FORWARD_EVIDENCE_LINES))
+        line_order().rangeBetween(1, rules.FORWARD_EVIDENCE_LINES))
 
 
 def forward_has(evidence_line: Column, stop_line: Column) -> Column:
@@ -80,7 +103,7 @@ def forward_has(evidence_line: Column, stop_line: Column) -> Column:
 def context_any(name: str) -> Column:
     """Any line within +-radius carries ``name`` (the flag already excludes comments)."""
     r = rules.MARKETING_RADIUS
-    return F.max(_f(name)).over(line_order().rowsBetween(-r, r))
+    return F.max(_f(name)).over(line_order().rangeBetween(-r, r))
 
 
 # --- W5: brace-delimited method block ----------------------------------------
@@ -93,18 +116,18 @@ def block_items() -> Column:
     """
     item = F.struct(F.col("line_no").alias("line_no"), F.col("braces").alias("braces"))
     return F.collect_list(F.when(F.col("braces").isNotNull(), item)).over(
-        line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
+        line_order().rangeBetween(0, rules.METHOD_BLOCK_LINES - 1))
 
 
 def first_in_block(name: str) -> Column:
     """First line carrying ``name`` among the next 31 (anchor included)."""
     return F.min(F.when(_f(name), F.col("line_no"))).over(
-        line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
+        line_order().rangeBetween(0, rules.METHOD_BLOCK_LINES - 1))
 
 
 def block_last_line() -> Column:
-    """Last line the block budget reaches (anchor + 30, clipped at end of file)."""
-    return F.max("line_no").over(line_order().rowsBetween(0, rules.METHOD_BLOCK_LINES - 1))
+    """Last line the block budget reaches (anchor + 30, clipped at end of file), where all lines are there."""
+    return F.max("line_no").over(line_order().rangeBetween(0, rules.METHOD_BLOCK_LINES - 1))
 
 
 def block_end(items: Column) -> Column:

@@ -106,7 +106,7 @@ def marketing_context(spark, sf_dir):
 
 def method_blocks(spark, sf_dir):
     """Brace block of every mapping annotation and its tokens."""
-    fr = _framed(spark, sf_dir, [rules.CONSENT], only_triggers=True)
+    fr = frames(to_lines(corpus(spark, sf_dir)), rules.resolve([rules.CONSENT]), dense=True)
     return fr.select("file_path", F.col("line_no").alias("anchor_line"),
                      F.coalesce("blk_end", "blk_last").alias("end_line"),
                      F.col("blk_personal").alias("has_personal"),

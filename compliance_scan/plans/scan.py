@@ -1,28 +1,32 @@
-"""The scan plan: sources -> lines -> flags -> one shuffle -> one window pass -> findings.
-
-Physical shape (see ``explain``):
-
-1. executors read files (or generate the corpus) and explode them into lines;
-2. one projection evaluates every regex once per line and packs the results
-   into an INT bitmask; the line text is kept only on trigger lines, so the
-   shuffle carries flags, not text;
-3. both consumers below read that projection; ``materialized=True`` computes
-   it once with a reliable checkpoint instead of once per consumer;
-4. consumer A tags every line with its *chunk* (``(line_no-1) div
-   chunk_lines``), copies it into neighbouring chunks whose frames reach it
-   (halo: 10 lines back, 30 forward), shuffles ONCE on ``(file_path,
-   chunk)`` and computes all frames of all detectors in one sort + window
-   pass; only trigger lines leave it;
-5. consumer B aggregates per ``(file, chunk)`` (fixed-width HashAggregate
-   with map-side combine) and runs a window over that small table: the carry
-   of the unbounded annotation run from earlier chunks, and file-wide
-   retention evidence / first record line;
-6. trigger lines join B's table on ``(file_path, chunk)`` (they are already
-   partitioned that way, only the small table moves) and one ``explode``
-   emits the findings of all six detectors.
-
-A file of any size is thus spread over ``lines / chunk_lines`` tasks; nothing
-is collected into one task, one group or the driver.
+"""The scan plan: sources -> line flags -> candidate lines with their context -> findings.
+
+**Whole files** (``scan``, a ``(file_path, content)`` table): one pass, no shuffle.
+
+1. one Arrow projection (RE2) drops texts in which no trigger of the selected
+   detectors matches, and gives the others the array of their line flags: every
+   regex is evaluated once per line, and the corpus is read once;
+2. ``operators.contexts`` lets every candidate line take along bounded slices of
+   its file (10 lines ahead, 10 around, a block of 31) and explodes these alone;
+3. one explode emits the findings of all detectors, and a second, small Arrow
+   projection takes the reported field out of the finding lines.
+
+Tasks hold files one by one; nothing is collected into one task, one group or
+the driver.  A file has to fit into a row here.
+
+**Tables of lines** (``scan_lines``, where a file may be larger than a row):
+
+1. the same flags per line, packed into an INT bitmask;
+2. lines with neither a flag nor a brace are left out; the others are tagged with
+   their *chunk* (``(line_no-1) div chunk_lines``), copied into neighbouring
+   chunks whose frames reach them (halo: 10 lines back, 30 forward), and shuffled
+   ONCE on ``(file_path, chunk)``; all frames are one sort + window pass;
+3. per ``(file, chunk)``, a fixed-width HashAggregate with map-side combine and a
+   window over that small table give the carry of the unbounded annotation run
+   and the file-wide retention evidence; candidate lines join it on ``(file_path,
+   chunk)``.  Flags feed both consumers; ``materialized=True`` computes them once
+   with a reliable checkpoint.
+
+A file of any size is thus spread over ``lines / chunk_lines`` tasks.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import re2
 from ..functions.text import TRIGGER_FLAGS, flag, needed_flags
+from ..operators import contexts as ctx
 from ..operators import detectors as det
 from ..operators import frames as fr
 from ..session import materialize
-from ..sources.files import to_lines
 
 DEFAULT_CHUNK_LINES = 1 << 16
 
@@ -47,13 +51,11 @@ def _f(name: str):
     return flag(F.col("flags"), name)
 
 
-def prefilter_sources(sources: DataFrame, specs) -> DataFrame:
-    """Drop files whose whole text matches no trigger of the selected detectors.
-
-    Exact: no trigger uses ``^``/``$``, so a line match is also a match in the
-    joined text (a superset test); files dropped here cannot yield findings.
-    """
-    return sources.where(re2.matches_any(F.col("content"), [s.trigger for s in specs]))
+def flag_files(sources: DataFrame, specs, prefilter: bool = True) -> DataFrame:
+    """``(file_path, content, flags)``: one row per file that can have findings, with the flags of its lines."""
+    triggers = [s.trigger for s in specs] if prefilter else ()
+    flags = re2.file_flags(F.col("content"), needed_flags([s.id for s in specs]), triggers)
+    return sources.select("file_path", "content", flags.alias("flags")).where("flags is not null")
 
 
 def flag_lines(lines: DataFrame, specs) -> DataFrame:
@@ -77,6 +79,11 @@ def flag_lines(lines: DataFrame, specs) -> DataFrame:
                           braces.alias("braces"))
 
 
+def carrying(flagged: DataFrame) -> DataFrame:
+    """The lines that carry a flag or a brace; frames go by line number and miss no other."""
+    return flagged.where((F.col("flags") != 0) | F.col("braces").isNotNull())
+
+
 def chunk_with_halo(flagged: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES,
                     num_partitions: int | None = None) -> DataFrame:
     """Tag chunks, copy halo rows, shuffle once on ``(file_path, chunk)``."""
@@ -91,18 +98,8 @@ def chunk_with_halo(flagged: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES,
     return chunked.repartition(*parts, "file_path", "chunk")
 
 
-def prepare_lines(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Lazy variant (no table written): flag, chunk and shuffle."""
-    return chunk_with_halo(flag_lines(lines, specs), chunk_lines, num_partitions)
-
-
 _EVIDENCE = ((rules.ENCRYPTION, "enc_ev"), (rules.FINANCIAL, "prot_ev"))
 
-# the flag that makes a line a candidate of each detector
-TRIGGER_FLAG_OF = {rules.LOGGING: "log", rules.ENCRYPTION: "ident", rules.CONSENT: "mapping",
-                   rules.MARKETING: "send", rules.FINANCIAL: "fin", rules.RETENTION: "record"}
-
 
 def chunk_summary(flagged: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame | None:
     """Per ``(file_path, chunk)``: what a line needs to know about the rest of its file.
@@ -150,7 +147,7 @@ def chunk_summary(flagged: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LI
 
 
 def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
-                only_triggers: bool = True) -> DataFrame:
+                only_triggers: bool = True, chunk_lines: int = DEFAULT_CHUNK_LINES) -> DataFrame:
     """All frame columns of the selected detectors for core lines, in one window pass.
 
     ``prepared`` comes from ``chunk_with_halo``; ``summary`` from
@@ -161,7 +158,10 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
     evidences = [e for d, e in _EVIDENCE if d in ids]
     cols = [F.col(c) for c in ("file_path", "chunk", "line_no", "core", "flags", "line")]
     if evidences:
-        cols.append(fr.previous_break().alias("prev_brk"))
+        first_line = F.col("chunk") * chunk_lines + 1
+        prepared = prepared.withColumn("prev_annot", fr.previous_annotation())
+        prepared = prepared.withColumn("run_start", fr.run_start(F.col("prev_annot")))
+        cols.append(fr.previous_break(F.col("prev_annot"), F.col("run_start"), first_line).alias("prev_brk"))
         cols.append(fr.forward_stop().alias("fwd_stop"))
         for e in evidences:
             cols.append(fr.previous_annotated_evidence(e).alias(f"prev_{e}"))
@@ -177,7 +177,7 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
     framed = prepared.select(*cols).where(F.col("core"))
 
     if only_triggers:
-        trig = [_f(TRIGGER_FLAG_OF[d]) for d in sorted(ids)]
+        trig = [_f(ctx.TRIGGER_FLAG_OF[d]) for d in sorted(ids)]
         framed = framed.where(reduce(lambda a, b: a | b, trig))
 
     if rules.CONSENT in ids:
@@ -206,21 +206,25 @@ def frame_lines(prepared: DataFrame, specs, summary: DataFrame | None = None,
 
 def frames(lines: DataFrame, specs, chunk_lines: int = DEFAULT_CHUNK_LINES,
            num_partitions: int | None = None, only_triggers: bool = True,
-           materialized: bool = False) -> DataFrame:
-    """Flag lines (once), then frame them; see the module docstring for the plan."""
+           materialized: bool = False, dense: bool | None = None) -> DataFrame:
+    """Flag lines, then frame them; see the module docstring for the plan.
+
+    ``dense`` keeps lines that carry nothing, which is the default where all lines are asked for.
+    """
     flagged = flag_lines(lines, specs)
     if only_triggers and all(s.id == rules.LOGGING for s in specs):
-        return flagged.where(_f("log"))  # a line tells it alone: no frame, no shuffle
+        return flagged.where(F.col("line").isNotNull())  # a line tells it alone: no frame, no shuffle
     if materialized:
         flagged = materialize(flagged)
-    prepared = chunk_with_halo(flagged, chunk_lines, num_partitions)
     summary = chunk_summary(flagged, specs, chunk_lines)
-    return frame_lines(prepared, specs, summary, only_triggers)
+    whole = dense if dense is not None else not only_triggers
+    prepared = chunk_with_halo(flagged if whole else carrying(flagged), chunk_lines, num_partitions)
+    return frame_lines(prepared, specs, summary, only_triggers, chunk_lines)
 
 
 def scan_lines(lines: DataFrame, detectors=None, chunk_lines: int = DEFAULT_CHUNK_LINES,
                num_partitions: int | None = None, materialized: bool = False) -> DataFrame:
-    """Findings of the selected detectors (default all six) over a lines table."""
+    """Findings of the selected detectors (default all six) over a ``(file_path, line_no, line)`` table."""
     specs = rules.resolve(detectors)
     framed = frames(lines, specs, chunk_lines, num_partitions, True, materialized)
     return det.line_findings(framed, specs)
@@ -234,14 +238,10 @@ def own_findings(sources: DataFrame, detector, place: int) -> DataFrame:
                                     *[F.col(c).cast(types[c]).alias(c) for c in det.FINDING_FIELDS])
 
 
-def scan(sources: DataFrame, detectors=None, prefilter: bool = True,
-         chunk_lines: int = DEFAULT_CHUNK_LINES, num_partitions: int | None = None,
-         materialized: bool = False) -> DataFrame:
+def scan(sources: DataFrame, detectors=None, prefilter: bool = True) -> DataFrame:
     """Findings for a ``(file_path, content)`` table (one row per file).
 
-    By default nothing runs and nothing is written when this is called.  With
-    ``materialized`` the flagged lines are checkpointed once, which spares the
-    second regex pass.
+    Nothing runs and nothing is written when this is called.
 
     ``detectors`` may also hold callables of one's own: each takes the sources
     and returns the finding columns (``FINDING_FIELDS``); its findings stand
@@ -252,6 +252,5 @@ def scan(sources: DataFrame, detectors=None, prefilter: bool = True,
     parts = [own_findings(sources, d, i) for i, d in enumerate(own)]
     if named is None or named or not own:
         specs = rules.resolve(named)
-        kept = prefilter_sources(sources, specs) if prefilter else sources
-        parts.insert(0, scan_lines(to_lines(kept), specs, chunk_lines, num_partitions, materialized))
+        parts.insert(0, det.line_findings(ctx.framed(flag_files(sources, specs, prefilter), specs), specs))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -23,15 +23,21 @@ def spark():
 
 @pytest.fixture()
 def scan_files(spark):
-    """Scan in-memory files: ``{path: text}`` -> sorted list of finding dicts."""
-    from compliance_scan.plans.scan import scan
+    """Scan in-memory files: ``{path: text}`` -> sorted list of finding dicts.
 
-    def run(files, detectors=None, chunk_lines=None, prefilter=True):
+    Files are scanned whole and as a table of lines in chunks; both must agree.
+    """
+    from compliance_scan.plans.scan import scan, scan_lines
+    from compliance_scan.sources.files import to_lines
+
+    def told(found):
+        return sorted((r.asDict() for r in found.collect()), key=lambda r: (r["file_path"], r["detector_ord"], r["line_number"]))
+
+    def run(files, detectors=None, chunk_lines=7, prefilter=True):
         src = spark.createDataFrame(list(files.items()), "file_path STRING, content STRING")
-        kw = {"chunk_lines": chunk_lines} if chunk_lines else {}
-        rows = scan(src, detectors, prefilter=prefilter, **kw).collect()
-        out = [r.asDict() for r in rows]
-        return sorted(out, key=lambda r: (r["file_path"], r["detector_ord"], r["line_number"]))
+        out = told(scan(src, detectors, prefilter=prefilter))
+        assert told(scan_lines(to_lines(src), detectors, chunk_lines=chunk_lines)) == out
+        return out
 
     return run
 
