@@ -4,29 +4,19 @@ Report order is directory-walk order, then detector registration order,
 then line: ``split(file_path, '/')`` sorts ``a/b.java`` before ``a.java``
 as a lexical per-directory walk does (plain string order would not).
 
-Two ordinals are offered:
-
-* ``with_file_ordinal`` -- position of a finding inside its file's report.
-  Findings are cut into buckets of ``(file, detector, line div B)``; bucket
-  sizes are bounded by ``B`` and the per-file prefix runs over the small
-  bucket table, so a file holding a third of all findings is still spread
-  over many tasks.
-* ``with_global_ordinal`` -- position in the whole report.  The sorted
-  findings are checkpointed (reliably, to the session's checkpoint folder),
-  then ``offset(partition) + index in partition``; the offsets table has one
-  row per partition and is broadcast.
+``numbered`` gives each row its 1-based place in its group: the rows are
+materialised once, sorted by range into partitions and checkpointed (reliably,
+to the session's checkpoint folder); a row's place is its place in its partition
+plus the counts of its group in earlier partitions, a table of one row per
+partition and group.  One group, or one file, may hold any share of the rows.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import need_checkpoint_dir
-
-ORDINAL_BUCKET_LINES = 1 << 16
-
+from ..session import materialize
 
 def walk_order() -> list[Column]:
     return [F.split(F.col("file_path"), "/"), F.col("detector_ord"), F.col("line_number")]
@@ -37,34 +27,28 @@ def order_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*walk_order())
 
 
-def with_file_ordinal(findings: DataFrame, bucket_lines: int = ORDINAL_BUCKET_LINES,
-                      name: str = "ordinal") -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], group: Column | None = None, name: str = "ordinal") -> DataFrame:
+    """``rows`` with their 1-based place in ``order`` within ``group`` (default: the whole table)."""
+    key = F.lit(0) if group is None else group
+    # sampling for the range partitions reads the rows a second time, so they are computed before
+    ranged = materialize(materialize(rows.withColumn("_group", key)).orderBy("_group", *order))
+    part = F.spark_partition_id()
+    local = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    tagged = ranged.withColumns({"_part": part, "_local": local})
+    blocks = tagged.groupBy("_part", "_group").agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(F.col("_part"), F.col("_group"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = (tagged["_part"] == starts["_part"]) & tagged["_group"].eqNullSafe(starts["_group"])
+    placed = tagged.join(starts, same).drop(starts["_part"], starts["_group"])
+    return (placed.withColumn(name, (F.col("_start") + F.col("_local") - F.col("_first") + 1).cast("long"))
+            .drop("_part", "_group", "_local", "_first", "_start"))
+
+
+def with_file_ordinal(findings: DataFrame, name: str = "ordinal") -> DataFrame:
     """1-based position of each finding in its file, ordered by (detector, line)."""
-    keys = ["file_path", "detector_ord", "_bucket"]
-    b = findings.withColumn("_bucket", F.floor(F.col("line_number") / bucket_lines).cast("int"))
-    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy("file_path").orderBy("detector_ord", "_bucket")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = b.withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*keys).orderBy("line_number")))
-    return (ranked.join(offsets, keys)
-            .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_bucket", "_off", "_rn"))
+    return numbered(findings, [F.col("detector_ord"), F.col("line_number")], F.col("file_path"), name)
 
 
-def with_global_ordinal(findings: DataFrame, order: list[Column] | None = None,
-                        name: str = "ordinal") -> DataFrame:
-    """1-based position of each row in ``order`` (default: report order) over the whole table."""
-    need_checkpoint_dir(findings.sparkSession)
-    ordered = findings.orderBy(*(order or walk_order())).checkpoint(eager=True)
-    tagged = ordered.select("*", F.spark_partition_id().alias("_pid"),
-                            F.monotonically_increasing_id().alias("_mid"))
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_pid", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_off") + local + 1)
-            .drop("_pid", "_mid", "_off"))
+def with_global_ordinal(findings: DataFrame, name: str = "ordinal") -> DataFrame:
+    """1-based position of each finding in report order over the whole table."""
+    return numbered(findings, walk_order(), None, name)

@@ -174,6 +174,49 @@ _REQUESTED = ("requested AS (SELECT id FROM cited UNION "
 _BLOCK_FMT = ("--- Finding %d ---\n  Detector:  %s\n  Risk:      %s\n  Location:  %s:%d\n"
               "  Snippet:   %s\n  Message:   %s\n  Laws:      %s\n\n")
 
+_MATCHED = "\nUNION ALL\n".join(
+    f"SELECT file_path, line_no, {_s(p)} AS pattern, regexp_extract(line, {_re(p)}, {g}) AS field "
+    f"FROM lines WHERE regexp_matches(line, {_re(p)})"
+    for p, g in (("log_call", 2), ("identifier", 0), ("financial", 0), ("record", 0)))
+
+_FOLDED = """, lines AS (SELECT file_path, line_no, CASE line_no % 3
+  WHEN 0 THEN translate(line, 'skSK', 'ſKſK') WHEN 1 THEN translate(line, 'iI', 'ıİ')
+  ELSE translate(line, 'ski', 'SKİ') END AS line FROM plain)
+"""
+
+_AT = "2026-03-23T14:30:00Z"
+
+
+def _escaped(json: str) -> str:
+    for ch in "<>&":
+        json = f"replace({json}, '{ch}', '\\u{ord(ch):04x}')"
+    return json
+
+
+def _documents(target: str, text: bool) -> str:
+    """Fragments of the reports of all targets; ``target`` is SQL over ``file_path``."""
+    if text:
+        opening = (f"printf('compliance scan report\nScanned: {_AT}\nTarget:  %s\nFiles:   %d\nFindings: %d\n\n', "
+                   "target_path, files, n)")
+        body = (f"printf({_s(_BLOCK_FMT)}, seq, detector_id, risk_level, file_path, line_number, snippet, message, "
+                "array_to_string(related_laws, ', '))")
+        closing = _s(rules.DISCLAIMER + "\n")
+    else:
+        opening = (f"'{{\"scanned_at\":\"{_AT}\",\"target_path\":' || {_escaped('to_json(target_path)::VARCHAR')} || "
+                   "',\"files_scanned\":' || files || ',\"total_findings\":' || n || ',\"findings\":['")
+        one = _escaped("to_json(struct_pack(detector_id := detector_id, risk_level := risk_level, file_path := file_path, "
+                       "line_number := line_number, snippet := snippet, message := message, "
+                       "related_laws := related_laws))::VARCHAR")
+        body = f"CASE WHEN seq > 1 THEN ',' ELSE '' END || {one}"
+        closing = _s('],"disclaimer":"' + rules.DISCLAIMER + '"}')
+    return f""", targets AS (SELECT {target} AS target_path, count(*) AS files FROM (SELECT DISTINCT file_path FROM lines) GROUP BY 1),
+placed AS (SELECT *, {target} AS target_path, row_number() OVER (
+  PARTITION BY {target} ORDER BY string_split(file_path, '/'), detector_ord, line_number) AS seq FROM findings),
+heads AS (SELECT t.target_path, t.files, count(p.seq) AS n FROM targets t LEFT JOIN placed p USING (target_path) GROUP BY ALL)
+SELECT target_path, 0::BIGINT AS seq, {opening} AS text FROM heads
+UNION ALL SELECT target_path, seq, {body} FROM placed
+UNION ALL SELECT target_path, n + 1, {closing} FROM heads"""
+
 
 def oracle_sql() -> dict[str, str]:
     base = _with(_lines_cte())
@@ -186,10 +229,8 @@ def oracle_sql() -> dict[str, str]:
         "line_snippets": base + f"SELECT file_path, line_no, {_TRIM} AS snippet FROM lines",
         "line_flags": fl + ("SELECT file_path, line_no, c, annot, decl, log, ident, enc_ev, mapping, "
                             "personal, consent, send, intent, optin, fin, prot_ev, record, retained FROM flags"),
-        "matched_field": base + "\nUNION ALL\n".join(
-            f"SELECT file_path, line_no, {_s(p)} AS pattern, regexp_extract(line, {_re(p)}, {g}) AS field "
-            f"FROM lines WHERE regexp_matches(line, {_re(p)})"
-            for p, g in (("log_call", 2), ("identifier", 0), ("financial", 0), ("record", 0))),
+        "matched_field": base + _MATCHED,
+        "matched_field_folded": base.replace("lines AS (", "plain AS (")[:-1] + _FOLDED + _MATCHED,
         "annotation_evidence": fr + "SELECT file_path, line_no, annot_encrypt, annot_protect FROM ev",
         "forward_evidence": fr + "SELECT file_path, line_no, fwd_encrypt, fwd_protect FROM ev",
         "marketing_context": fr + "SELECT file_path, line_no, ctx_intent, ctx_optin FROM ev",
@@ -223,6 +264,10 @@ def oracle_sql() -> dict[str, str]:
             "risk_level, file_path, line_number, snippet, message, array_to_string(related_laws, ', ')) AS text "
             "FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_path ORDER BY detector_ord, line_number) "
             "AS BIGINT) AS ordinal FROM findings)"),
+        "report_directory_text": allc[:-1] + _documents("'src'", True),
+        "report_file_text": allc[:-1] + _documents("file_path", True),
+        "report_directory_json": allc[:-1] + _documents("'src'", False),
+        "report_file_json": allc[:-1] + _documents("file_path", False),
         "detector_summary": allc[:-1] + ",\n" + _CATALOG_CTE + "\n" + (
             "SELECT c.detector_ord, c.id, c.name, c.description, c.related_laws, c.risk_level, "
             "CAST(count(f.detector_id) AS BIGINT) AS findings "

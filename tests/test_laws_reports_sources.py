@@ -126,7 +126,7 @@ def test_file_ordinal_with_small_buckets(spark):
     from compliance_scan.operators.ordering import with_file_ordinal
     rows = [(1, "PIPA-LOG-001", "f", n) for n in (5, 1, 9, 3)] + [(5, "CIA-ENC-001", "f", 2)]
     df = spark.createDataFrame(rows, "detector_ord INT, detector_id STRING, file_path STRING, line_number INT")
-    got = sorted((r.ordinal, r.detector_ord, r.line_number) for r in with_file_ordinal(df, bucket_lines=2).collect())
+    got = sorted((r.ordinal, r.detector_ord, r.line_number) for r in with_file_ordinal(df).collect())
     assert got == [(1, 1, 1), (2, 1, 3), (3, 1, 5), (4, 1, 9), (5, 5, 2)]
 
 
