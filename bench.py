@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from compliance_scan import rules  # noqa: E402
 from compliance_scan.operators import laws as law_ops  # noqa: E402
 from compliance_scan.operators import report  # noqa: E402
-from compliance_scan.plans.scan import scan  # noqa: E402
+from compliance_scan.plans.scan import scan, scan_counts  # noqa: E402
 from compliance_scan.session import local_session  # noqa: E402
 from compliance_scan.sources.corpus import corpus_sources  # noqa: E402
 from compliance_scan.sources.laws import load_laws  # noqa: E402
@@ -46,7 +46,7 @@ def main():
     plans = {
         "full_scan": lambda: scan(src),
         "full_scan_no_prefilter": lambda: scan(src, prefilter=False),
-        "report_summary": lambda: report.summary(src, scan(src), target="src"),
+        "report_summary": lambda: report.header(scan_counts(src, target="src")),
         "report_json": lambda: report.finding_json(scan(src)),
         "findings_with_laws": lambda: law_ops.expand_findings(scan(src), laws),
     }

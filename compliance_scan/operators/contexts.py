@@ -44,8 +44,12 @@ def _first(array: Column, test) -> Column:
     return F.array_position(F.transform(array, test), True)
 
 
-def candidate_lines(files: DataFrame, specs) -> DataFrame:
-    """One row per candidate line of ``(file_path, content, flags)``, with its slices of the file."""
+def candidate_lines(files: DataFrame, specs, every_file: bool = False) -> DataFrame:
+    """One row per candidate line of ``(file_path, content, flags)``, with its slices of the file.
+
+    With ``every_file`` a file without candidates has one row too, of NULLs, and
+    ``pos`` is 0 or NULL on exactly one row of each file.
+    """
     ids = {s.id for s in specs}
     text = files.select("file_path", "flags", split_lines(F.col("content")).alias("lines"))
     flags, lines = F.col("flags"), F.col("lines")
@@ -66,15 +70,13 @@ def candidate_lines(files: DataFrame, specs) -> DataFrame:
         return F.when(_any(f, triggers), F.struct(*cols))
 
     found = F.filter(F.transform(flags, taken), lambda x: x.isNotNull())
-    cols = [F.col("file_path"), F.explode(found).alias("t")]
+    exploded = F.posexplode_outer(found).alias("pos", "t") if every_file else F.explode(found).alias("t")
+    cols, told = [F.col("file_path"), exploded], ["file_path", *(["pos"] if every_file else []), "t.*"]
     if rules.RETENTION in ids:
         first = _first(flags, lambda f: flag(f, "record"))
-        cols = [F.col("file_path"), F.explode(found).alias("t"),
-                _has(flags, "retained").alias("file_has_retention"),
-                first.cast("int").alias("file_first_record")]
-        return text.select(*cols).select("file_path", "t.*", "file_has_retention", "file_first_record",
-                                         (F.col("file_first_record") > 0).alias("file_has_record"))
-    return text.select(*cols).select("file_path", "t.*")
+        cols += [_has(flags, "retained").alias("file_has_retention"), first.cast("int").alias("file_first_record")]
+        told += ["file_has_retention", "file_first_record", (F.col("file_first_record") > 0).alias("file_has_record")]
+    return text.select(*cols).select(*told)
 
 
 # --- W3: forward scan of the next lines, stopping at a new field ------------------------
@@ -110,10 +112,10 @@ def block_lines(text: Column) -> Column:
     return F.aggregate(marks, state(F.lit(0), F.lit(False), F.lit(1), none), step)["end"]
 
 
-def framed(files: DataFrame, specs) -> DataFrame:
+def framed(files: DataFrame, specs, every_file: bool = False) -> DataFrame:
     """Candidate lines with the columns that ``operators.detectors.condition`` reads."""
     ids = {s.id for s in specs}
-    out = candidate_lines(files, specs)
+    out = candidate_lines(files, specs, every_file)
     f = F.col("flags")
     for d, evidence, run in ((rules.ENCRYPTION, "enc_ev", "run_enc"), (rules.FINANCIAL, "prot_ev", "run_prot")):
         if d in ids:

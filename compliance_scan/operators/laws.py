@@ -47,17 +47,21 @@ RESPONSE_SCHEMA = "law ARRAY<STRUCT<`법령명_한글`: STRING, `조문내용`:
 
 
 def refresh(laws: DataFrame, responses: DataFrame) -> DataFrame:
-    """A10: laws with ``full_text`` from landed search responses ``(query, body)``.
+    """A10: laws with ``full_text`` from landed search responses ``(query, body)`` and, if there is one, ``arrived``.
 
     A law's query is its ``name_ko``.  The first ``law`` entry of a response
     rooted at ``LawSearch`` (comments may precede it) gives the text; a missing, empty, non-XML or
     differently rooted response leaves ``full_text`` NULL (the bundled row is
-    kept, as the live lookup falls back to it).
+    kept, as the live lookup falls back to it).  Of several responses to a
+    query the earliest with a text counts; those that arrived together, or
+    have no ``arrived``, by the text.
     """
+    arrived = F.col("arrived") if "arrived" in responses.columns else F.lit(None).cast("long")
     parsed = responses.select(
-        F.col("query"),
+        F.col("query"), arrived.alias("arrived"),
         F.when(F.col("body").rlike(r"(?s)^\s*(<\?xml[^>]*\?>\s*)?(?><!--.*?-->\s*)*<LawSearch[\s>]"),
                F.get(F.from_xml("body", RESPONSE_SCHEMA)["law"], 0)["조문내용"]).alias("full_text"))
-    # one response per query: keep the first non-NULL text deterministically
-    per_query = parsed.groupBy("query").agg(F.min("full_text").alias("full_text"))
+    last = F.struct(F.col("arrived").isNull(), F.col("arrived"), F.col("full_text"))  # without a time after all others
+    per_query = (parsed.where("full_text is not null").groupBy("query")
+                 .agg(F.min_by("full_text", last).alias("full_text")))
     return laws.join(per_query, laws["name_ko"] == per_query["query"], "left").drop("query")

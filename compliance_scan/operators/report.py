@@ -40,6 +40,8 @@ def summary(sources: DataFrame, findings: DataFrame, target: Column | str | None
 
     ``target`` is a column over ``file_path`` (e.g. the file itself for the
     per-file form, or a folder); a string is a constant target (whole scan).
+    Where findings are not needed themselves, ``header(plans.scan.scan_counts(...))``
+    gives the same in one pass over the sources.
     """
     if target is None:
         target = F.col("file_path")
@@ -50,11 +52,16 @@ def summary(sources: DataFrame, findings: DataFrame, target: Column | str | None
     out = (files.unionByName(hits).groupBy("target_path")
            .agg(F.sum("f").alias("files_scanned"),
                 F.sum("n").alias("total_findings")))
+    return header(out, with_time)
+
+
+def header(counts: DataFrame, with_time: bool = False) -> DataFrame:
+    """The report header of each target from its counts (``target_path, files_scanned, total_findings``)."""
     cols = [F.col("target_path"), F.col("files_scanned"), F.col("total_findings"),
             F.lit(rules.DISCLAIMER).alias("disclaimer")]
     if with_time:
         cols.insert(0, scanned_at().alias("scanned_at"))
-    return out.select(*cols)
+    return counts.select(*cols)
 
 
 def finding_json(findings: DataFrame) -> DataFrame:

@@ -286,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
             "CAST((SELECT count(*) FROM findings f WHERE f.detector_id = n.id) AS BIGINT) AS findings "
             "FROM (SELECT id, UNNEST(string_split(related_laws, ',')) AS law_id FROM catalog) n"),
         "law_refresh": allc[:-1] + ",\n" + _LAWS_CTE + "\n" + (
-            "SELECT l.id, l.name_ko, (SELECT min('text ' || CAST(k AS VARCHAR)) FROM keys "
+            "SELECT l.id, l.name_ko, (SELECT arg_min('text ' || CAST(k AS VARCHAR), k * 7919 % 10007) FROM keys "
             "WHERE k % 37 + 1 = l.ord AND k % 5 IN (0, 4)) AS full_text FROM laws l"),
         "findings_with_laws": allc[:-1] + ",\n" + _LAWS_CTE + "\n" + (
             "SELECT f.file_path, f.line_number, f.detector_id, x.law_id, l.name_en AS law_name_en, "

@@ -21,7 +21,7 @@ from ..operators.detectors import detector_catalog
 from ..sources.corpus import corpus_sources
 from ..sources.files import to_lines
 from ..sources.laws import load_laws
-from .scan import frames, scan
+from .scan import frames, scan, scan_counts
 
 CORPUS_TABLE = "customer"
 
@@ -149,21 +149,18 @@ def scan_ordered(spark, sf_dir):
 
 def report_summary(spark, sf_dir):
     """A4: the directory-scan report header (target = corpus root)."""
-    src = corpus(spark, sf_dir)
-    return report.summary(src, scan(src), target="src")
+    return report.header(scan_counts(corpus(spark, sf_dir), target="src"))
 
 
 def report_row(spark, sf_dir):
     """A5: the single-file report header of every file (clean files included)."""
-    src = corpus(spark, sf_dir)
-    return report.summary(src, scan(src))
+    return report.header(scan_counts(corpus(spark, sf_dir)))
 
 
 def report_by_folder(spark, sf_dir):
     """A5: the directory-scan report header of every folder."""
-    src = corpus(spark, sf_dir)
     folder = F.regexp_extract(F.col("file_path"), r"^(.*)/[^/]*$", 1)
-    return report.summary(src, scan(src), target=folder)
+    return report.header(scan_counts(corpus(spark, sf_dir), target=folder))
 
 
 def report_json(spark, sf_dir):
@@ -258,7 +255,9 @@ def detector_law_coverage(spark, sf_dir):
 
 
 def law_responses(spark, sf_dir):
-    """``(query, body)``: one landed search response per key, for the law at ``key % 37`` in load order.
+    """``(query, body, arrived)``: one landed search response per key, for the law at ``key % 37`` in load order.
+
+    The time of arrival falls and rises with the key, so the earliest text of a law is seldom the least.
 
     By ``key % 5``: two entries, no entry, no XML, another root, and a comment before the root.
     """
@@ -270,7 +269,8 @@ def law_responses(spark, sf_dir):
     body = F.coalesce(*[F.when(F.col("k") % 5 == i, F.format_string(x, "k") if "%d" in x else F.lit(x))
                         for i, x in enumerate(shapes)])
     names = load_laws(spark).select("ord", F.col("name_ko").alias("query"))
-    return keys.withColumn("ord", (F.col("k") % 37 + 1).cast("int")).join(names, "ord").select("query", body.alias("body"))
+    return keys.withColumn("ord", (F.col("k") % 37 + 1).cast("int")).join(names, "ord").select(
+        "query", body.alias("body"), (F.col("k") * 7919 % 10007).alias("arrived"))
 
 
 def law_refresh(spark, sf_dir):

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -43,8 +43,10 @@ from ..operators import contexts as ctx
 from ..operators import detectors as det
 from ..operators import frames as fr
 from ..session import materialize
+from ..sources.files import read_lines, read_sources
 
 DEFAULT_CHUNK_LINES = 1 << 16
+ROW_BYTES = 256 << 20  # files larger than this are not held in one row
 
 
 def _f(name: str):
@@ -54,8 +56,13 @@ def _f(name: str):
 def flag_files(sources: DataFrame, specs, prefilter: bool = True) -> DataFrame:
     """``(file_path, content, flags)``: one row per file that can have findings, with the flags of its lines."""
     triggers = [s.trigger for s in specs] if prefilter else ()
+    flagged = _with_flags(sources, specs, triggers)
+    return flagged.where("flags is not null")
+
+
+def _with_flags(sources: DataFrame, specs, triggers) -> DataFrame:
     flags = re2.file_flags(F.col("content"), needed_flags([s.id for s in specs]), triggers)
-    return sources.select("file_path", "content", flags.alias("flags")).where("flags is not null")
+    return sources.select("file_path", "content", flags.alias("flags"))
 
 
 def flag_lines(lines: DataFrame, specs) -> DataFrame:
@@ -254,3 +261,26 @@ def scan(sources: DataFrame, detectors=None, prefilter: bool = True) -> DataFram
         specs = rules.resolve(named)
         parts.insert(0, det.line_findings(ctx.framed(flag_files(sources, specs, prefilter), specs), specs))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def scan_counts(sources: DataFrame, detectors=None, target: Column | str | None = None) -> DataFrame:
+    """``target_path, files_scanned, total_findings`` in one pass over the sources.
+
+    The findings are counted where their candidates stand; no finding row is
+    made, and files without any, or without content, count as scanned.  ``target``
+    is a column over ``file_path`` or a constant; by default every file is one.
+    """
+    specs = rules.resolve(detectors)
+    target = F.col("file_path") if target is None else F.lit(target) if isinstance(target, str) else target
+    framed = ctx.framed(_with_flags(sources, specs, [s.trigger for s in specs]), specs, every_file=True)
+    hits = reduce(lambda a, b: a + b, [F.coalesce(det.condition(s), F.lit(False)).cast("long") for s in specs])
+    first = (F.coalesce(F.col("pos"), F.lit(0)) == 0).cast("long")
+    return (framed.select(target.alias("target_path"), first.alias("f"), hits.alias("n"))
+            .groupBy("target_path").agg(F.sum("f").alias("files_scanned"), F.sum("n").alias("total_findings")))
+
+
+def scan_path(spark: SparkSession, path: str, pattern: str | None = None, detectors=None,
+              row_bytes: int = ROW_BYTES, materialized: bool = False) -> DataFrame:
+    """Findings of the files under ``path``: files up to ``row_bytes`` whole, larger ones as tables of lines."""
+    whole = scan(read_sources(spark, path, pattern, row_bytes), detectors)
+    return whole.unionByName(scan_lines(read_lines(spark, path, pattern, row_bytes), detectors, materialized=materialized))

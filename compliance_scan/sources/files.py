@@ -3,14 +3,16 @@
 ``read_sources`` returns ``(file_path, content)``, one row per file, read by
 the executors with Spark's text source in whole-text mode; nothing passes
 through the driver.  ``to_lines`` explodes it into ``(file_path, line_no,
-line)``.
+line)``.  ``read_lines`` gives that table without ever holding a file in a
+row: a file is split like any other input, and the lines of its blocks are
+numbered by the counts of the blocks before them.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -34,26 +36,71 @@ def _is_file(spark: SparkSession, path: str) -> bool:
         return os.path.isfile(path)
 
 
-def read_sources(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def _reader(spark: SparkSession, path: str, pattern: str | None):
+    reader = spark.read.format("text")
+    if not _is_file(spark, path):
+        reader = (reader.option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", pattern or rules.DEFAULT_PATTERN))
+    return reader
+
+
+def read_sources(spark: SparkSession, path: str, pattern: str | None = None,
+                 row_bytes: int | None = None) -> DataFrame:
     """Read every file under ``path`` whose base name matches ``pattern``.
 
     * empty / missing pattern means ``*.java``;
     * if ``path`` is a file it is read regardless of the pattern;
-    * a missing path raises (Spark's ``AnalysisException``: path does not exist).
+    * a missing path raises (Spark's ``AnalysisException``: path does not exist);
+    * with ``row_bytes``, larger files are left out (see ``read_lines``).
 
     Known differences to a plain directory walk: Spark's file index skips names
-    starting with ``_`` or ``.``, and returns no row for a 0-byte file.
+    starting with ``_`` or ``.``, and returns no row for a 0-byte file;
+    ``sources.tree.read_tree`` has both, and unreadable files.
     """
-    pattern = pattern or rules.DEFAULT_PATTERN
-    reader = spark.read.format("text").option("wholetext", "true")
-    if not _is_file(spark, path):
-        reader = (reader.option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", pattern))
-    df = reader.load(path)
+    df = _reader(spark, path, pattern).option("wholetext", "true").load(path)
+    if row_bytes is not None:
+        df = df.where(F.col("_metadata.file_size") <= row_bytes)  # prunes the files, nothing of them is read
     return df.select(plain_path(F.col("_metadata.file_path")).alias("file_path"),
                      F.col("value").alias("content"))
 
 
+def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
+               larger_than: int | None = None) -> DataFrame:
+    """``(file_path, line_no, line)`` of every file under ``path``, read split by split.
+
+    Equal to ``to_lines(read_sources(...))``: lines end at ``\\n`` alone, a trailing
+    one opens an empty last line, and a byte order mark stays.  Files may be of
+    any size; with ``larger_than`` (bytes) smaller ones are left out.
+
+    A block's lines are consecutive rows of a partition, so a line's number is its
+    place there plus the lines of earlier blocks of its file: a table of one row
+    per block, aggregated map-side, that a second pass over the text joins.
+    """
+    df = _reader(spark, path, pattern).option("lineSep", "\n").load(path)
+    if larger_than is not None:
+        df = df.where(F.col("_metadata.file_size") > larger_than)
+    rows = df.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
+                     F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"),
+                     F.col("value").alias("line"))
+    blocks = rows.groupBy("uri", "block", "size").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"))
+    of_file = Window.partitionBy("uri")
+    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("uri", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
+                           F.sum("n").over(of_file).alias("lines"),
+                           (F.col("size") - F.sum("bytes").over(of_file)).alias("missing"))
+    # with a line feed to every line a file has as many bytes as it should if it ends with one, and one
+    # too many if not; the reader takes a byte order mark, three bytes, off the first line
+    number = (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no")
+    mark = F.when((F.col("missing") >= 2) & (number == 1), F.lit("\ufeff")).otherwise(F.lit(""))
+    lines = rows.join(placed, ["uri", "block"]).select("uri", number, F.concat(mark, F.col("line")).alias("line"))
+    ends = placed.where((F.col("before") == 0) & F.col("missing").isin(0, 3)).select(
+        "uri", (F.col("lines") + 1).alias("line_no"), F.lit("").alias("line"))
+    return lines.unionByName(ends).select(plain_path(F.col("uri")).alias("file_path"),
+                                          F.col("line_no").cast("int").alias("line_no"), "line")
+
+
 def to_lines(sources: DataFrame) -> DataFrame:
     """``(file_path, content)`` -> ``(file_path, line_no, line)``; 1-based, split on ``\\n``."""
     return (sources

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
+from .files import read_lines
+
 LAW_SCHEMA = ("ord INT, id STRING, name_ko STRING, name_en STRING, summary STRING, "
               "url STRING, risk_level STRING, full_text_ko STRING")
 
@@ -65,29 +68,44 @@ def bundled_laws(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, LAW_SCHEMA)
 
 
+_TEXTS = ("id", "name_ko", "name_en", "summary", "url", "risk_level", "full_text_ko")
+_LAW = "struct<" + ",".join(f"{c}:string" for c in _TEXTS) + ",ord:int>"
+
+
+def _override(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
+    """Rows of an override with ``file`` and ``place``: where they stand."""
+    if fmt == "parquet":
+        raw = spark.read.parquet(path)
+        at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
+        law = [(F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in _TEXTS]
+        own = F.col("ord").cast("int") if "ord" in raw.columns else F.lit(None).cast("int")
+        return raw.select(*at, *law, own.alias("ord"))
+    if multi_line:  # one document a file
+        docs = (spark.read.format("text").option("wholetext", "true").load(path)
+                .select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"struct<laws:array<{_LAW}>>").alias("doc")))
+        return docs.select("file", F.posexplode("doc.laws").alias("place", "law")).select("file", "place", "law.*")
+    lines = read_lines(spark, path, "*").where(F.trim("line") != "")
+    return lines.select(F.col("file_path").alias("file"), F.col("line_no").alias("place"),
+                        F.from_json("line", _LAW).alias("law")).select("file", "place", "law.*")
+
+
 def load_laws(spark: SparkSession, path: str | None = None, fmt: str | None = None,
               multi_line: bool = False) -> DataFrame:
-    """The bundled table, or an override file that replaces it (no merge).
+    """The bundled table, or an override that replaces it (no merge).
 
-    The override is JSON (one object per line; ``{"laws": [...]}`` documents
-    with ``multi_line=True``), or Parquet; the YAML parser of the original is not
-    rebuilt.  Duplicate IDs raise ``ValueError`` naming them (S8).
+    The override is a file or a folder of files, JSON (one object per line;
+    ``{"laws": [...]}`` documents with ``multi_line=True``) or Parquet; the YAML
+    parser of the original is not rebuilt.  ``ord`` is the load order 1..n over
+    all files: by file name, then by place in the file; a column ``ord`` of the
+    files comes first.  Duplicate IDs raise ``ValueError`` naming them (S8).
     """
     if path is None:
         laws = bundled_laws(spark)
     else:
         fmt = fmt or ("parquet" if path.endswith(".parquet") else "json")
-        raw = spark.read.format(fmt).option("multiLine", multi_line).load(path)
-        if "laws" in raw.columns:
-            raw = raw.select(F.posexplode("laws").alias("pos", "law")).select(
-                (F.col("pos") + 1).alias("ord"), "law.*")
-        elif "ord" not in raw.columns:
-            raw = raw.withColumn("ord", F.lit(None).cast("int"))
-        for c in ("id", "name_ko", "name_en", "summary", "url", "risk_level", "full_text_ko"):
-            if c not in raw.columns:
-                raw = raw.withColumn(c, F.lit(None).cast("string"))
-        laws = raw.select(F.col("ord").cast("int"), *[F.col(c).cast("string") for c in
-                          ("id", "name_ko", "name_en", "summary", "url", "risk_level", "full_text_ko")])
+        raw = _override(spark, path, fmt, multi_line).withColumnRenamed("ord", "given")
+        order = [F.asc_nulls_last("given"), F.regexp_extract("file", r"([^/]*)$", 1), F.col("file"), F.col("place")]
+        laws = numbered(raw, order, name="ord").select(F.col("ord").cast("int").alias("ord"), *_TEXTS)
     check_unique_ids(laws)
     return laws
 

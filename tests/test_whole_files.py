@@ -86,3 +86,19 @@ def test_field_is_what_the_rules_dialect_matches(scan_files):
     found = scan_files({"a.java": src}, [LOG, ENC, RET])
     assert [(f["line_number"], f["message"].split("(")[1].split(")")[0]) for f in found] == [
         (1, "email"), (2, "phone"), (3, "paſſword"), (4, "reſidentNumber"), (6, "ſſn"), (5, "txn_id")]
+
+
+def test_counts_take_one_pass_and_equal_the_findings(spark):
+    from pyspark.sql import functions as F
+
+    from compliance_scan.operators import report
+    from compliance_scan.plans.scan import scan_counts
+    src = corpus_sources(spark, SF0001).unionByName(spark.createDataFrame(
+        [("src/empty.java", ""), ("src/unread.java", None), ("src/clean.java", "class C {}")], "file_path string, content string"))
+    folder = F.regexp_extract(F.col("file_path"), r"^(.*)/[^/]*$", 1)
+    for target in (None, "src", folder):
+        for ids in (None, [MKT], [RET, LOG]):
+            counted = report.header(scan_counts(src, ids, target))
+            assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, report.summary(src, scan(src, ids), target).collect()))
+    text = plan(scan_counts(corpus_sources(spark, SF0001), target="src"))
+    assert text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1 and "Join" not in text
