@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_A_TASK = 1 << 14  # narrow rows of a table kept between rounds that one task may hold at least
+ROWS_A_TASK = 1 << 15  # narrow rows of a table kept between rounds that one task may hold at least
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,24 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder.
 
-    ``rows`` is an upper bound of its rows, where one is known and the rows are narrow.
+    ``rows`` is an upper bound of its rows, where one is known and the rows are narrow.  A table that
+    fits one task is also read as one partition, and what groups or joins such tables needs no exchange.
     """
     shared_folder(df.sparkSession)
-    return (df if rows is None else few(df, rows)).checkpoint()
+    return df.checkpoint() if rows is None else few(few(df, rows).checkpoint(), rows)
+
+
+def counted(df: DataFrame, rows: int | None = None, of: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut(df, rows)`` and the number of its rows, or of those where ``of`` holds, observed by the same job."""
+    seen = Observation()
+    number = F.count(F.lit(1)) if of is None else F.count_if(of)
+    done = cut(df.observe(seen, number.alias("n")), rows)
+    return done, seen.get["n"]
+
+
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to hold at most ``rows`` narrow rows, as the side of a join: broadcast if these fit one task."""
+    return F.broadcast(df) if rows <= ROWS_A_TASK else df
 
 
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
