@@ -64,6 +64,22 @@ def held(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= ROWS_A_TASK else df
 
 
+def apart(docs: DataFrame, made, **used: Column) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed ``c0``, ``c1``, ... so that no name of theirs meets a helper column.
+
+    Columns named like one of ``made`` (what an operator returns) are left out; ``used`` are further
+    columns, given over the old names.  Also returns the new names and what they stand for.
+    """
+    kept = [c for c in docs.columns if c.lower() not in made]
+    names = {f"c{i}": c for i, c in enumerate(kept)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], *[v.alias(k) for k, v in used.items()]), names
+
+
+def back(names: dict[str, str]) -> list[Column]:
+    """The columns that ``apart`` renamed, under their own names."""
+    return [F.col(n).alias(c) for n, c in names.items()]
+
+
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

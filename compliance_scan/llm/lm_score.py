@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import apart, back, cut, read
 from .words import WordHashes, words_of
 
 N_CLASSES = 512
@@ -215,16 +215,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, rows)), schema=schema)
 
     made = ("n_tokens", "target_loss", "background_loss", "difference")
-    docs = docs.drop(*made)
+    keyed, names = apart(docs, made, _text=F.xxhash64("text"))
     own = docs.select("text", F.xxhash64("text").alias("_text")).mapInArrow(count, "_text long, previous long, current long, _n long")
     # Copies of a text are summed together; each has one first word.
     losses = (own.join(model.logs.hint("merge"), ["previous", "current"]).groupBy("_text")
               .agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("previous") == START, F.col("_n"))).alias("_copies"),
                    *[(-F.sum(F.col("_n") * F.col(m))).alias(f"_{m}") for m in MODELS]))
-    out = docs.withColumn("_text", F.xxhash64("text")).join(losses.hint("merge"), "_text", "left")
+    out = keyed.join(losses.hint("merge"), "_text", "left")
     out = out.withColumns({"n_tokens": F.coalesce(F.floor(F.col("_all") / F.col("_copies")), F.lit(0)).cast("long"),
                            **{f"{m}_loss": F.coalesce(F.col(f"_{m}") / F.col("_all"), F.lit(0.0)) for m in MODELS}})
-    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).select(*docs.columns, *made)
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).select(*back(names), *made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

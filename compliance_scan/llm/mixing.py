@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import apart, back, cut, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)  # repeating, over the sources in code-point order
@@ -173,16 +173,15 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOT
     return spark.createDataFrame(out, PLAN)
 
 
+DEALT = ("size", "source_size", "target", "draws", "taken")
 DRAW = "struct<epoch:int,words:bigint,shard:int>"
 
 
 def deal(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``draws`` (epoch, words, shard) and ``taken``."""
-    kept = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "draws", "taken"}]
-    docs = docs.select(*kept)
     of = plan(docs, seed=seed, **options).withColumnRenamed("source", "_s")
-    x = (docs.withColumn("size", word_count("text")).withColumn("_place", _place(seed))
-         .join(of, docs.source.eqNullSafe(of._s), "left"))
+    docs, names = apart(docs, DEALT, size=word_count("text"), _place=_place(seed), _source=F.col("source"))
+    x = docs.join(of, docs._source.eqNullSafe(of._s), "left")
     x = x.withColumn("_block", _block(F.col("_place"), F.col("_blocks")))
     # A source whose last epoch has a cut takes what stands before it; without words to share there is none.
     rest = (F.when(F.col("_place") < F.col("_cut"), F.col("size"))
@@ -201,7 +200,7 @@ def deal(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     part = F.when(drawn, F.array(draw(F.col("_whole"), rest))).otherwise(none)
     x = x.withColumn("draws", F.concat(wholes, part))
     x = x.withColumn("taken", F.col("_whole") * F.col("size") + rest)
-    return x.select(*kept, "size", "source_size", "target", "draws", "taken")
+    return x.select(*back(names), *DEALT)
 
 
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -210,20 +209,20 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     A draw of fewer words than the text has keeps the leading ones, joined by
     single blanks.
     """
-    columns = [c for c in docs.columns if c.lower() not in {"mix_shard", "mix_order"}]
-    kept = [c for c in columns if c.lower() not in {"size", "source_size", "target", "draws", "taken"}]
-    lost = [c for c in columns if c not in kept]
-    docs = docs.select(*kept, *[F.col(c).alias(f"_in_{c}") for c in lost])
+    used = {c: F.col(c) for c in ("doc_id", "text", "source")}
+    docs, names = apart(docs, ("mix_shard", "mix_order"), **used)
     x = deal(docs, seed=seed, **options).withColumn("_draw", F.explode("draws"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     short = F.col("_draw.words") < F.col("size")
     text = F.when(short, F.array_join(F.slice(words, 1, F.col("_draw.words").cast("int")), " ")).otherwise(F.col("text"))
-    changed = {"text": text}
-    if "n_chars" in kept:
-        changed["n_chars"] = F.when(short, F.length(text).cast("long")).otherwise(F.col("n_chars"))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text", "_draw.epoch")
-    x = x.withColumns({"mix_shard": F.col("_draw.shard"), "mix_order": order}).withColumns(changed)
-    return x.select(*[F.col(f"_in_{c}").alias(c) if c in lost else F.col(c) for c in columns], "mix_shard", "mix_order")
+
+    def given(name: str, own: str) -> Column:
+        if own.lower() == "text":
+            return text
+        return F.when(short, F.length(text).cast("long")).otherwise(F.col(name)) if own.lower() == "n_chars" else F.col(name)
+
+    return x.select(*[given(n, c).alias(c) for n, c in names.items()], F.col("_draw.shard").alias("mix_shard"), order.alias("mix_order"))
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

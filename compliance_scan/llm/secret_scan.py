@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -109,8 +110,16 @@ def random_spans(text: str, encoding: tiktoken.Encoding, known: Iterable[str] =
     def judged(part: str) -> bool:
         return (len(part) >= LEAST and len(part) < max_ratio * len(encoding.encode_ordinary(part)) and not word(part))
 
+    passed = 0  # spans are in order of their starts, runs follow each other
+    reach = list(accumulate((e for _, e in taken), max))
     for m in _RUN.finditer(text):
-        over = [(max(s - m.start(), 0), e - m.start()) for s, e in taken if s < m.end() and m.start() < e]
+        while passed < len(taken) and reach[passed] <= m.start():
+            passed += 1
+        over, at = [], passed
+        while at < len(taken) and taken[at][0] < m.end():
+            if m.start() < taken[at][1]:
+                over.append((max(taken[at][0] - m.start(), 0), taken[at][1] - m.start()))
+            at += 1
         for first, last in _free(m[0], known, lengths, over):
             piece, begin = m[0][first:last], m.start() + first
             if len(piece) < LEAST:

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import apart, back, cut, read
 
 N_SHARDS = 16
 N_GROUPS = 1 << 14  # cells of the first search; a power of two
@@ -167,8 +167,9 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_groups: int = N_GROUPS, s
     Size and checksum are taken before the exchange, so it carries the text
     only if the caller selects it.
     """
-    sized = (docs.drop("shard", "slot").withColumn("size", text_size(F.col("text")) if size is None else size)
-             .withColumn("text_crc32", F.crc32("text")).withColumn("_group", atomic_group(F.col("text"))))
+    text = F.col("text")
+    sized, names = apart(docs, ("size", "text_crc32", "shard", "slot"), size=text_size(text) if size is None else size,
+                         text_crc32=F.crc32(text), _group=atomic_group(text), _id=F.col("doc_id"))
     groups = cut(sized.groupBy("_group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
     every = groups.agg(F.sum("size").alias("size"), F.sum("n").alias("n")).first()
     large = F.col("size") * n_groups > (every.size or 0)  # fewer than n_groups
@@ -188,15 +189,15 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_groups: int = N_GROUPS, s
     own = groups.where("g < 0").select("_group", F.col("g").alias("_g"))
     at = sized.join(F.broadcast(own), "_group", "left").withColumn("g", F.coalesce("_g", "_group")).drop("_g")
     at = at.withColumns({"_run": run, "shard": placed(F.col("g"))}).join(F.broadcast(runs), "_run")
-    at = at.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+    at = at.withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")))
     part = ["shard", "_run", "_part"]
     before = Window.partitionBy("shard").orderBy("_run", "_part").rowsBetween(Window.unboundedPreceding, -1)
     first = (at.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
              .select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
-    within = Window.partitionBy(*part).orderBy("_group", F.col("doc_id").asc_nulls_last(), "size", "text_crc32")
+    within = Window.partitionBy(*part).orderBy("_group", F.col("_id").asc_nulls_last(), "size", "text_crc32")
     return (at.withColumn("_row", F.row_number().over(within)).join(F.broadcast(first), part)
             .withColumn("slot", F.col("_first") + F.col("_row") - 1)
-            .select(*[c for c in sized.columns if c != "_group"], "shard", "slot"))
+            .select(*back(names), "size", "text_crc32", "shard", "slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
