@@ -21,9 +21,10 @@ from pyspark.sql import functions as F  # noqa: E402
 from compliance_scan import rules  # noqa: E402
 from compliance_scan.operators import laws as law_ops  # noqa: E402
 from compliance_scan.operators import report  # noqa: E402
-from compliance_scan.plans.scan import scan, scan_counts  # noqa: E402
+from compliance_scan.plans.scan import scan, scan_counts, scan_lines  # noqa: E402
 from compliance_scan.session import local_session  # noqa: E402
 from compliance_scan.sources.corpus import corpus_sources  # noqa: E402
+from compliance_scan.sources.files import to_lines  # noqa: E402
 from compliance_scan.sources.laws import load_laws  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -42,12 +43,19 @@ def main():
     n_files = src.count()  # materialise the generated corpus once (not timed)
     n_lines = src.select(F.sum(F.size(F.split("content", "\n", -1)))).first()[0]
 
+    # one line in a hundred carries something, as whole files and as a table of lines
+    sparse = corpus_sources(spark, SF_DIR, TABLE, percent=1).cache()
+    sparse.count()
+    lines = to_lines(sparse)
+
     laws = load_laws(spark)
     plans = {
         "full_scan": lambda: scan(src),
         "full_scan_no_prefilter": lambda: scan(src, prefilter=False),
         "report_summary": lambda: report.header(scan_counts(src, target="src")),
         "report_json": lambda: report.finding_json(scan(src)),
+        "full_scan_sparse": lambda: scan(sparse),
+        "lines_scan_sparse": lambda: scan_lines(lines),
         "findings_with_laws": lambda: law_ops.expand_findings(scan(src), laws),
     }
     for d in rules.DETECTORS:

@@ -218,6 +218,10 @@ UNION ALL SELECT target_path, seq, {body} FROM placed
 UNION ALL SELECT target_path, n + 1, {closing} FROM heads"""
 
 
+_BY_KEY = ("SELECT CAST(regexp_extract(file_path, '/F([0-9]+)', 1) AS BIGINT) AS k, detector_id, line_number, snippet, message "
+           "FROM findings")
+
+
 def oracle_sql() -> dict[str, str]:
     base = _with(_lines_cte())
     fl = _with(_lines_cte(), _FLAGS)
@@ -226,6 +230,14 @@ def oracle_sql() -> dict[str, str]:
     allc = _all_ctes()
     out = {
         "source_lines": base + "SELECT file_path, line_no, line FROM lines",
+        "tree_files": base + (
+            "SELECT CAST(regexp_extract(file_path, '/F([0-9]+)', 1) AS BIGINT) AS k, sum(strlen(line) + 1)::BIGINT AS size, "
+            "true AS readable, sum(strlen(line) + 1)::BIGINT AS bytes FROM lines GROUP BY file_path"),
+        "tree_findings": allc + _BY_KEY,
+        "split_lines": base + (
+            "SELECT CAST(regexp_extract(file_path, '/F([0-9]+)', 1) AS BIGINT) AS k, line_no, line FROM lines "
+            "UNION ALL SELECT k, (k % 29 + 13)::INTEGER, '' FROM keys"),
+        "path_findings": allc + _BY_KEY,
         "line_snippets": base + f"SELECT file_path, line_no, {_TRIM} AS snippet FROM lines",
         "line_flags": fl + ("SELECT file_path, line_no, c, annot, decl, log, ident, enc_ev, mapping, "
                             "personal, consent, send, intent, optin, fin, prot_ev, record, retained FROM flags"),
@@ -264,6 +276,20 @@ def oracle_sql() -> dict[str, str]:
             "risk_level, file_path, line_number, snippet, message, array_to_string(related_laws, ', ')) AS text "
             "FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_path ORDER BY detector_ord, line_number) "
             "AS BIGINT) AS ordinal FROM findings)"),
+        "report_stamp": _all_ctes([rules.MARKETING]) + (
+            "SELECT t.folder AS target_path, CAST(count(DISTINCT t.file_path) AS BIGINT) AS files_scanned, "
+            "CAST(count(f.file_path) AS BIGINT) AS total_findings, true AS well_formed, true AS just_past "
+            "FROM (SELECT DISTINCT file_path, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder FROM lines) t "
+            "LEFT JOIN findings f ON f.file_path = t.file_path GROUP BY t.folder"),
+        "scan_with_own_detector": _all_ctes([rules.LOGGING])[:-1] + f""", together AS (
+  SELECT detector_ord, detector_id, file_path, line_number, snippet, array_to_string(related_laws, ',') AS related_laws FROM findings
+  UNION ALL SELECT 99, 'OWN-001', file_path, line_no, {_TRIM}, 'OWN-1,OWN-2' FROM lines WHERE contains(line, 'int total'))
+SELECT row_number() OVER (ORDER BY string_split(file_path, '/'), detector_ord, line_number) AS ordinal,
+       detector_id, file_path, line_number, snippet, related_laws FROM together""",
+        "law_override": base + (
+            "SELECT CAST(row_number() OVER (ORDER BY k DESC) AS INTEGER) AS ord, 'OWN-' || k AS id, '법 ' || k AS name_ko, "
+            "CASE WHEN k % 3 > 0 THEN 'Act ' || k || ' \"<&>\"' END AS name_en, 'own' AS summary, "
+            "CASE WHEN k % 2 > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, NULL::VARCHAR AS full_text_ko FROM keys"),
         "report_directory_text": allc[:-1] + _documents("'src'", True),
         "report_file_text": allc[:-1] + _documents("file_path", True),
         "report_directory_json": allc[:-1] + _documents("'src'", False),

@@ -9,6 +9,8 @@ numbers are INT on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ from ..functions.text import FLAG_BITS, flag, unicode_trim
 from ..operators import laws as law_ops
 from ..operators import ordering, report
 from ..operators.detectors import detector_catalog
+from ..session import need_checkpoint_dir
+from ..sources import tree
 from ..sources.corpus import corpus_sources
-from ..sources.files import to_lines
+from ..sources.files import read_lines, to_lines
 from ..sources.laws import load_laws
-from .scan import frames, scan, scan_counts
+from .scan import frames, scan, scan_counts, scan_path
 
 CORPUS_TABLE = "customer"
 
@@ -42,6 +46,21 @@ def _flat(f: DataFrame) -> DataFrame:
                       for c in FINDING_COLUMNS])
 
 
+def corpus_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus written as a folder of files ``k=<key>/part-*.txt`` in the shared checkpoint folder.
+
+    The writer ends every line with a line feed, so a file has an empty last line.
+    """
+    folder = f"{need_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    k = F.regexp_extract("file_path", r"/F(\d+)\.java$", 1)
+    corpus(spark, sf_dir).select(k.alias("k"), F.col("content").alias("value")).write.partitionBy("k").text(folder)
+    return folder
+
+
+def _of_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.regexp_extract("file_path", r"k=(\d+)/", 1).cast("long")).drop("file_path")
+
+
 # --- sources / projections ------------------------------------------------------
 
 def source_lines(spark, sf_dir):
@@ -49,6 +68,30 @@ def source_lines(spark, sf_dir):
     return to_lines(corpus(spark, sf_dir))
 
 
+def tree_files(spark, sf_dir):
+    """Every file of the corpus folder that a walk finds, its size, and whether it could be read."""
+    found = tree.read_tree(spark, corpus_folder(spark, sf_dir), "part-*")
+    return _of_key(found.select("file_path", "size", F.col("error").isNull().alias("readable"),
+                                F.octet_length("content").cast("long").alias("bytes")))
+
+
+def tree_findings(spark, sf_dir):
+    """Findings of the walked corpus folder."""
+    found = scan(tree.read_tree(spark, corpus_folder(spark, sf_dir), "part-*"))
+    return _of_key(found.select("file_path", "detector_id", "line_number", "snippet", "message"))
+
+
+def split_lines(spark, sf_dir):
+    """Every line of the corpus folder's files, numbered over the splits of each file."""
+    return _of_key(read_lines(spark, corpus_folder(spark, sf_dir), "part-*"))
+
+
+def path_findings(spark, sf_dir):
+    """A1/A2: findings of the corpus folder, files of up to 500 bytes whole, larger ones as lines in chunks."""
+    found = scan_path(spark, corpus_folder(spark, sf_dir), "part-*", row_bytes=500)
+    return _of_key(found.select("file_path", "detector_id", "line_number", "snippet", "message"))
+
+
 def line_snippets(spark, sf_dir):
     """Unicode-trimmed text of every line."""
     return to_lines(corpus(spark, sf_dir)).select(
@@ -139,6 +182,21 @@ def scan_all(spark, sf_dir):
     return _flat(findings(spark, sf_dir))
 
 
+def total_lines(sources: DataFrame) -> DataFrame:
+    """A detector of one's own: lines that declare a total."""
+    hits = to_lines(sources).where(F.col("line").contains("int total"))
+    return hits.select(F.lit("OWN-001").alias("detector_id"), F.lit("LOW").alias("risk_level"), "file_path",
+                       F.col("line_no").alias("line_number"), unicode_trim(F.col("line")).alias("snippet"),
+                       F.lit("A total is declared").alias("message"), F.array(F.lit("OWN-1"), F.lit("OWN-2")).alias("related_laws"))
+
+
+def scan_with_own_detector(spark, sf_dir):
+    """2.8: findings of a built-in detector and of a caller's, numbered in report order."""
+    f = ordering.with_global_ordinal(scan(corpus(spark, sf_dir), [total_lines, rules.LOGGING]))
+    return f.select(
+        "ordinal", "detector_id", "file_path", "line_number", "snippet", F.array_join("related_laws", ",").alias("related_laws"))
+
+
 def scan_ordered(spark, sf_dir):
     """A3: report position of every finding (walk order, detector order, line)."""
     f = ordering.with_global_ordinal(findings(spark, sf_dir))
@@ -173,6 +231,16 @@ def report_text(spark, sf_dir):
     return report.finding_blocks(findings(spark, sf_dir))
 
 
+def report_stamp(spark, sf_dir):
+    """P10: the stamped header of every folder: the time is RFC 3339 in UTC, the same in all rows, and just past."""
+    folder = F.regexp_extract(F.col("file_path"), r"^(.*)/[^/]*$", 1)
+    stamped = report.header(scan_counts(corpus(spark, sf_dir), [rules.MARKETING], folder), with_time=True)
+    at = F.to_timestamp("scanned_at", "yyyy-MM-dd'T'HH:mm:ssX")
+    return stamped.select("target_path", "files_scanned", "total_findings",
+                          F.col("scanned_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("well_formed"),
+                          (F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(at)) <= 1).alias("just_past"))
+
+
 REPORT_TIME = "2026-03-23T14:30:00Z"  # a report names the time of its scan; here a fixed one, so runs agree
 
 
@@ -254,6 +322,21 @@ def detector_law_coverage(spark, sf_dir):
                     F.coalesce("findings", F.lit(0)).cast("long").alias("findings")))
 
 
+def law_override(spark, sf_dir):
+    """Laws made of the table's keys, written as four files of JSON lines in falling order, in load order.
+
+    The duplicate check passes them; a row's ``ord`` is its place over all files.
+    """
+    folder = f"{need_checkpoint_dir(spark)}/laws-{uuid.uuid4().hex}"
+    k = F.col("c_custkey").cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/{CORPUS_TABLE}.parquet").select(
+        k.alias("k"), F.format_string("OWN-%d", k).alias("id"), F.format_string("법 %d", k).alias("name_ko"),
+        F.when(k % 3 > 0, F.format_string("Act %d \"<&>\"", k)).alias("name_en"), F.lit("own").alias("summary"),
+        F.when(k % 2 > 0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("risk_level"))
+    rows.repartitionByRange(4, F.desc("k")).sortWithinPartitions(F.desc("k")).drop("k").write.json(folder)
+    return load_laws(spark, folder).select("ord", "id", "name_ko", "name_en", "summary", "risk_level", "full_text_ko")
+
+
 def law_responses(spark, sf_dir):
     """``(query, body, arrived)``: one landed search response per key, for the law at ``key % 37`` in load order.
 
@@ -287,6 +370,10 @@ def findings_with_laws(spark, sf_dir):
 
 QUERIES = {
     "source_lines": source_lines,
+    "tree_files": tree_files,
+    "tree_findings": tree_findings,
+    "split_lines": split_lines,
+    "path_findings": path_findings,
     "line_snippets": line_snippets,
     "line_flags": line_flags,
     "matched_field": matched_field,
@@ -303,17 +390,20 @@ QUERIES = {
     "detect_retention": _detect(rules.RETENTION),
     "scan_all": scan_all,
     "scan_ordered": scan_ordered,
+    "scan_with_own_detector": scan_with_own_detector,
     "report_summary": report_summary,
     "report_row": report_row,
     "report_by_folder": report_by_folder,
     "report_json": report_json,
     "report_text": report_text,
+    "report_stamp": report_stamp,
     "report_directory_text": report_directory_text,
     "report_file_text": report_file_text,
     "report_directory_json": report_directory_json,
     "report_file_json": report_file_json,
     "detector_summary": detector_summary,
     "law_list": law_list,
+    "law_override": law_override,
     "law_lookup": law_lookup,
     "law_unknown_ids": law_unknown_ids,
     "detector_law_coverage": detector_law_coverage,

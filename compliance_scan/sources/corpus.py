@@ -95,14 +95,23 @@ def _keys(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return keys
 
 
-def corpus_sources(spark: SparkSession, sf_dir: str, table: str = "customer") -> DataFrame:
-    """``(file_path, content)``: one generated Java file per key of ``table``."""
+PLAIN_LINE = 38  # a template that no rule looks at
+
+
+def corpus_sources(spark: SparkSession, sf_dir: str, table: str = "customer", percent: int = 100) -> DataFrame:
+    """``(file_path, content)``: one generated Java file per key of ``table``.
+
+    ``percent`` of the lines are as above and the others plain code, as in real sources most are.
+    """
     k = F.col("k")
     n_lines = (k % 29 + 12).cast("int")
-    content = F.array_join(
-        F.transform(F.sequence(F.lit(1).cast("long"), n_lines.cast("long")),
-                    lambda n: _template_at(k, n)),
-        "\n")
+
+    def line(n):
+        if percent >= 100:
+            return _template_at(k, n)
+        return F.when((k * 13 + n * 7) % 100 < percent, _template_at(k, n)).otherwise(F.lit(TEMPLATES[PLAIN_LINE]))
+
+    content = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n_lines.cast("long")), line), "\n")
     return _keys(spark, sf_dir, table).select(_file_path(k).alias("file_path"),
                                               content.alias("content"))
 

@@ -102,3 +102,12 @@ def test_counts_take_one_pass_and_equal_the_findings(spark):
             assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, report.summary(src, scan(src, ids), target).collect()))
     text = plan(scan_counts(corpus_sources(spark, SF0001), target="src"))
     assert text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1 and "Join" not in text
+
+
+def test_sparse_corpus_is_mostly_plain(spark):
+    src = corpus_sources(spark, SF0001, percent=1)
+    specs = rules.resolve(None)
+    flagged = flag_lines(to_lines(src), specs)
+    kept, every = carrying(flagged).count(), flagged.count()
+    assert 0 < kept < every / 50
+    assert sorted(map(tuple, scan(src).collect()), key=str) == sorted(map(tuple, scan_lines(to_lines(src)).collect()), key=str)
