@@ -38,7 +38,7 @@ TEMPLATES: tuple[str, ...] = (
     "    private String 카드번호;",
     "    private Long orderId;",
     "    private String 주문번호;",
-    "    private String orderNotes;",
+    "    private String orderNorm;",
     "    private Instant retentionUntil;",
     '    @PostMapping("/join")',
     '    @PutMapping("/profile/{id}")',
@@ -58,7 +58,7 @@ TEMPLATES: tuple[str, ...] = (
     "        push.notifyAll(to);",
     '        String body = "spring promotion";',
     '        String body = "광고 안내";',
-    '        String footer = "unsubscribe";',
+    '        String footer = "end of subscription";',
     "        boolean ok = user.optIn();",
     "        int total = a + b;",
     '\tString 이름 = f.get("n");',

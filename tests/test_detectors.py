@@ -118,11 +118,11 @@ def test_consent_block_without_closing_brace_runs_to_cap_or_eof(scan_files):
 
 # --- NIA-MKT-001 -----------------------------------------------------------------
 
-def test_marketing_hit_consent_unsubscribe_korean(scan_files):
+def test_marketing_hit_consent_subscription_korean(scan_files):
     hit = java('  String body = "spring promotion";', "  mailer.sendEmail(to, body);")
-    consented = java("  if (!user.hasMarketingConsent()) return;", '  String body = "promotion";',
+    consented = java("  if (ledger.consentOf(user).isEmpty()) return;", '  String body = "promotion";',
                      "  mailer.send(to, body);")
-    unsub = java('  String body = "newsletter";', '  String f = "unsubscribe";', "  push.notifyAll(to);")
+    unsub = java('  String body = "newsletter";', '  String f = "to end the subscription write to us";', "  push.notifyAll(to);")
     korean = java('  String body = "광고 안내";', "  sms.dispatch(to, body);")
     comment_intent = java("  // marketing newsletter", "  mailer.send(to, body);")
     declaration = java('  String body = "promotion";', "  void sendPromotion(String to) {}")
@@ -143,7 +143,7 @@ def test_marketing_context_radius_is_ten_lines(scan_files):
 def test_financial_hits_bounds_and_protection(scan_files):
     src = java(
         "    private String cardNumber;",
-        "    private String accountNotes;",
+        "    private String accountNonce;",
         "    private String cardNotice;",
         "    private String 카드번호;",
         "    @Mask",
@@ -161,8 +161,8 @@ def test_retention_once_per_file_and_suppression(scan_files):
     two = java("class O {", "    private Long orderId;", "    private String paymentId;", "}")
     kept = java("    private Long orderId;", "    private Instant retentionUntil;")
     comment_only = java("    // retention policy TODO", "    private Long orderId;")
-    settled = java("    private Long orderId;", "    private Instant settledAt;")
-    notes = java("    private String orderNotes;")
+    settled = java("    private Long orderId;", "    private Instant closingDay;")
+    notes = java("    private String orderNorm;")
     found = scan_files({"two.java": two, "kept.java": kept, "comment.java": comment_only,
                         "settled.java": settled, "notes.java": notes}, [RET])
     assert [(f["file_path"], f["line_number"]) for f in found] == [
