@@ -25,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from .. import rules
-from .text import FLAG_BITS, RUN_BITS
+from .text import FLAG_BITS, mask
 
 # flag -> (pattern name, only on non-comment lines)
 FLAG_PATTERNS = {
@@ -100,7 +100,7 @@ def matches_any(text: Column, pattern_names) -> Column:
 def _annotated(flags: np.ndarray, starts: np.ndarray, evidence: int) -> np.ndarray:
     """Whether the annotation lines right above a line hold ``evidence`` (files begin at ``starts``)."""
     at = np.arange(len(flags))
-    annot = flags & (1 << FLAG_BITS["annot"]) != 0
+    annot = flags & mask("annot") != 0
     first = np.zeros(len(flags), dtype=np.int64)
     first[starts] = starts
     first = np.maximum.accumulate(first)  # a file's first line
@@ -112,7 +112,8 @@ def _annotated(flags: np.ndarray, starts: np.ndarray, evidence: int) -> np.ndarr
 
 def _file_kernel(names: tuple[str, ...], triggers: tuple[str, ...]):
     per_line = _flag_kernel(names, False)
-    runs = [(1 << FLAG_BITS[e], 1 << RUN_BITS[run]) for run, e in (("run_enc", "enc_ev"), ("run_prot", "prot_ev")) if e in names]
+    runs = [(mask(e), mask(run), mask(plain)) for e, run, plain in (
+        ("enc_ev", "run_enc", "plain_enc"), ("prot_ev", "run_prot", "plain_prot")) if e in names]
 
     def kernel(texts: pa.Array) -> pa.Array:
         import pyarrow.compute as pc
@@ -122,12 +123,17 @@ def _file_kernel(names: tuple[str, ...], triggers: tuple[str, ...]):
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         flags = per_line(lists.flatten()).to_numpy(zero_copy_only=False).copy()
         starts = np.cumsum(sizes) - sizes
-        for evidence, run in runs:
+        if runs:
+            code = flags & mask("c") == 0
+            ends = code & (flags & mask("decl", "annot") != 0)
+            flags[ends] |= mask("stop")
+        for evidence, run, plain in runs:
             flags[_annotated(flags, starts, evidence)] |= run
-        mask = ~kept.to_numpy(zero_copy_only=False)
+            flags[code & ~ends & (flags & evidence != 0)] |= plain
+        none = ~kept.to_numpy(zero_copy_only=False)
         offsets = np.zeros(len(texts) + 1, dtype=np.int32)
-        offsets[1:][~mask] = sizes
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(flags), mask=pa.array(mask))
+        offsets[1:][~none] = sizes
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(flags), mask=pa.array(none))
 
     return kernel
 

@@ -1,4 +1,4 @@
-"""Scalar column functions: line split, snippet trim, regex flags.
+"""Scalar column functions: line split, snippet trim, unpacked flags.
 
 All of these are built-in Spark expressions (JVM side, inside whole-stage
 codegen); no Python runs per row.
@@ -6,8 +6,6 @@ codegen); no Python runs per row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,17 +19,7 @@ def split_lines(content: Column) -> Column:
 
 def unicode_trim(line: Column) -> Column:
     """Trim Unicode white space at both ends (``F.trim`` only strips ASCII blanks)."""
-    return F.regexp_replace(line, rules.TRIM_JAVA, "")
-
-
-def matches(line: Column, pattern: str) -> Column:
-    """Unanchored regex predicate; the pattern is a literal so it compiles once per task."""
-    return line.rlike(rules.java(pattern))
-
-
-def extract(line: Column, pattern: str, group: int) -> Column:
-    """Leftmost-first match (group 0) or a capture group of it."""
-    return F.regexp_extract(line, rules.java(pattern), group)
+    return F.btrim(line, F.lit(rules.WHITE_SPACE))
 
 
 # ---------------------------------------------------------------------------
@@ -57,8 +45,9 @@ FLAG_BITS = {
     "retained": 15,  # retention / destruction evidence, non-comment
 }
 
-# set on whole texts only: the annotation lines right above hold such evidence
-RUN_BITS = {"run_enc": 16, "run_prot": 17}
+# set on whole texts only: the annotation lines right above hold such evidence; a line that ends
+# the look-ahead (a declaration or an annotation); plain code with such evidence
+RUN_BITS = {"run_enc": 16, "run_prot": 17, "stop": 18, "plain_enc": 19, "plain_prot": 20}
 
 # which flags each detector reads
 DETECTOR_FLAGS = {
@@ -74,29 +63,6 @@ DETECTOR_FLAGS = {
 TRIGGER_FLAGS = ("log", "ident", "mapping", "send", "fin", "record")
 
 
-def flag_predicates(line: Column) -> dict[str, Column]:
-    is_comment = matches(line, "comment")
-    code = ~is_comment
-    return {
-        "c": is_comment,
-        "annot": matches(line, "annot"),
-        "decl": matches(line, "decl"),
-        "log": matches(line, "log_call"),
-        "ident": code & matches(line, "identifier"),
-        "enc_ev": matches(line, "encrypted"),
-        "mapping": matches(line, "mapping"),
-        "personal": matches(line, "personal"),
-        "consent": matches(line, "consent"),
-        "send": code & matches(line, "send"),
-        "intent": code & matches(line, "intent"),
-        "optin": code & matches(line, "opt_in"),
-        "fin": code & matches(line, "financial"),
-        "prot_ev": matches(line, "protected"),
-        "record": code & matches(line, "record"),
-        "retained": code & matches(line, "retained"),
-    }
-
-
 def needed_flags(detector_ids) -> tuple[str, ...]:
     wanted = set()
     for d in detector_ids:
@@ -104,16 +70,11 @@ def needed_flags(detector_ids) -> tuple[str, ...]:
     return tuple(sorted(wanted, key=FLAG_BITS.__getitem__))
 
 
-def pack_flags(line: Column, names) -> Column:
-    """OR of ``1 << bit`` for every true predicate among ``names``."""
-    preds = flag_predicates(line)
-    terms = [F.when(preds[n], F.lit(1 << FLAG_BITS[n])).otherwise(F.lit(0)) for n in names]
-    if not terms:
-        return F.lit(0)
-    return reduce(lambda a, b: a.bitwiseOR(b), terms)
+def mask(*names: str) -> int:
+    """The bits of ``names``."""
+    return sum(1 << (FLAG_BITS[n] if n in FLAG_BITS else RUN_BITS[n]) for n in names)
 
 
-def flag(flags: Column, name: str) -> Column:
-    """Unpack one flag from the bitmask."""
-    bit = 1 << (FLAG_BITS[name] if name in FLAG_BITS else RUN_BITS[name])
-    return flags.bitwiseAND(F.lit(bit)) != 0
+def flag(flags: Column, *names: str) -> Column:
+    """Whether one of the named flags is set in the bitmask."""
+    return flags.bitwiseAND(F.lit(mask(*names))) != 0

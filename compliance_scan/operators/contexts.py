@@ -14,8 +14,6 @@ lines, in which a file may be larger than a row, go through
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +29,13 @@ TRIGGER_FLAG_OF = {rules.LOGGING: "log", rules.ENCRYPTION: "ident", rules.CONSEN
                    rules.MARKETING: "send", rules.FINANCIAL: "fin", rules.RETENTION: "record"}
 
 
-def _any(flags: Column, names) -> Column:
-    return reduce(lambda a, b: a | b, [flag(flags, n) for n in names])
-
-
 def _has(flags: Column, name: str) -> Column:
     return F.exists(flags, lambda f: flag(f, name))
 
 
 def _first(array: Column, test) -> Column:
     """1-based place of the first element that passes, 0 if none does."""
-    return F.array_position(F.transform(array, test), True)
+    return F.array_position(F.transform(array, test), F.lit(True))
 
 
 def candidate_lines(files: DataFrame, specs, every_file: bool = False) -> DataFrame:
@@ -60,14 +54,14 @@ def candidate_lines(files: DataFrame, specs, every_file: bool = False) -> DataFr
         cols = [n.alias("line_no"), F.get(lines, i).alias("line"), f.alias("flags")]
         fields = [t for t in ("ident", "fin") if t in triggers]
         if fields:
-            cols.append(F.when(_any(f, fields), F.slice(flags, n + 1, N)).alias("ahead"))
+            cols.append(F.when(flag(f, *fields), F.slice(flags, n + 1, N)).alias("ahead"))
         if "send" in triggers:
             start = F.greatest(n - R, F.lit(1))
             cols.append(F.when(flag(f, "send"), F.slice(flags, start, n + R + 1 - start)).alias("around"))
         if "mapping" in triggers:
             cols.append(F.when(flag(f, "mapping"), F.slice(flags, n, BLOCK)).alias("blk_flags"))
             cols.append(F.when(flag(f, "mapping"), F.array_join(F.slice(lines, n, BLOCK), "\n")).alias("blk_text"))
-        return F.when(_any(f, triggers), F.struct(*cols))
+        return F.when(flag(f, *triggers), F.struct(*cols))
 
     found = F.filter(F.transform(flags, taken), lambda x: x.isNotNull())
     exploded = F.posexplode_outer(found).alias("pos", "t") if every_file else F.explode(found).alias("t")
@@ -83,8 +77,8 @@ def candidate_lines(files: DataFrame, specs, every_file: bool = False) -> DataFr
 
 def forward_has(ahead: Column, evidence: str) -> Column:
     """Plain code with ``evidence`` comes before the first declaration or annotation (comments are skipped)."""
-    stop = _first(ahead, lambda f: ~flag(f, "c") & (flag(f, "decl") | flag(f, "annot")))
-    found = _first(ahead, lambda f: ~flag(f, "c") & ~flag(f, "decl") & ~flag(f, "annot") & flag(f, evidence))
+    stop = _first(ahead, lambda f: flag(f, "stop"))
+    found = _first(ahead, lambda f: flag(f, evidence))
     return (found > 0) & ((stop == 0) | (found < stop))
 
 
@@ -117,10 +111,11 @@ def framed(files: DataFrame, specs, every_file: bool = False) -> DataFrame:
     ids = {s.id for s in specs}
     out = candidate_lines(files, specs, every_file)
     f = F.col("flags")
-    for d, evidence, run in ((rules.ENCRYPTION, "enc_ev", "run_enc"), (rules.FINANCIAL, "prot_ev", "run_prot")):
+    for d, evidence, run, plain in ((rules.ENCRYPTION, "enc_ev", "run_enc", "plain_enc"),
+                                    (rules.FINANCIAL, "prot_ev", "run_prot", "plain_prot")):
         if d in ids:
-            out = out.withColumn(f"protected_{evidence}", flag(f, evidence) | flag(f, run)
-                                 | F.coalesce(forward_has(F.col("ahead"), evidence), F.lit(False)))
+            out = out.withColumn(f"protected_{evidence}", flag(f, evidence, run)
+                                 | F.coalesce(forward_has(F.col("ahead"), plain), F.lit(False)))
     if rules.MARKETING in ids:
         out = out.withColumns({f"ctx_{n}": _has(F.col("around"), n) for n in ("intent", "optin")})
     if rules.CONSENT in ids:

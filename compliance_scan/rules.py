@@ -3,22 +3,8 @@
 Everything in the FIXED VALUES blocks must stay equal to the scanner whose
 behaviour this package reproduces: detector ids, names, descriptions, risk
 levels, related provision ids, message wording, the disclaimer and the
-patterns.  Each pattern is kept twice:
-
-* ``re2``  -- the original RE2 dialect, used verbatim by the DuckDB oracle;
-* ``java`` -- the same language for ``java.util.regex`` (Spark ``rlike`` /
-  ``regexp_extract``), translated by these rules:
-
-  - ``(?i)`` becomes ``(?iu)``: RE2 folds case by Unicode rules (``ſ`` = s);
-  - RE2 ``\\b`` is ASCII-only; it becomes a look-around on
-    ``(?-iu:[A-Za-z0-9_])`` so that Korean letters are not word characters;
-  - RE2 ``.`` only stops at ``\\n``; Java needs ``(?d)`` for that;
-  - RE2 ``\\s`` is ``[\\t\\n\\f\\r ]``; Java's also has ``\\x0B``;
-  - RE2 ``\\w`` is ASCII; written out as a class.
-
-  Alternatives that collapse under case folding are merged
-  (``@Encrypted|encrypt\\(|Encrypt\\(|ENCRYPT`` matches exactly where
-  ``encrypt`` does).
+patterns.  Patterns are RE2, the dialect in which they were written: it folds
+case by Unicode rules, and its ``\\b``, ``\\s`` and ``\\w`` are ASCII.
 """
 
 from __future__ import annotations
@@ -37,86 +23,51 @@ DISCLAIMER = (
 DEFAULT_PATTERN = "*.java"
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES -- regular expressions (name: RE2 text, Java text)
+# FIXED VALUES -- regular expressions (RE2)
 # ---------------------------------------------------------------------------
-PATTERNS: dict[str, tuple[str, str]] = {
-    "log_call": (
+PATTERNS: dict[str, str] = {
+    "log_call":
         r"(?i)log\.(info|debug|warn|error)\(.*?(email|phone|ssn|password|주민|이름|전화|이메일)",
-        r"(?iud)log\.(info|debug|warn|error)\(.*?(email|phone|ssn|password|주민|이름|전화|이메일)",
-    ),
-    "identifier": (
+    "identifier":
         r"(?i)(residentNumber|ssn|주민번호|resident.*[Nn]o)",
-        r"(?iud)(residentNumber|ssn|주민번호|resident.*no)",
-    ),
-    "encrypted": (
+    "encrypted":
         r"(?i)encrypt",
-        r"(?iu)encrypt",
-    ),
-    "annot": (
+    "annot":
         r"^\s*@\w+",
-        r"^[\t\n\f\r ]*@[A-Za-z0-9_]",
-    ),
-    "comment": (
+    "comment":
         r"^\s*//",
-        r"^[\t\n\f\r ]*//",
-    ),
-    "decl": (
+    "decl":
         r"^\s*(private|protected|public|final|static).*\s+\w+\s*;",
-        r"(?d)^[\t\n\f\r ]*(private|protected|public|final|static).*[\t\n\f\r ]+[A-Za-z0-9_]+[\t\n\f\r ]*;",
-    ),
-    "mapping": (
+    "mapping":
         r"@(Post|Put)Mapping",
-        r"@(Post|Put)Mapping",
-    ),
-    "personal": (
+    "personal":
         r"(?i)(email|phone|name|ssn|이메일|전화|이름|주민)",
-        r"(?iu)(email|phone|name|ssn|이메일|전화|이름|주민)",
-    ),
-    "consent": (
+    "consent":
         r"(?i)(consent|동의|agree)",
-        r"(?iu)(consent|동의|agree)",
-    ),
-    "send": (
+    "send":
         r"(?i)\.\s*(send|push|dispatch|notify)\w*\s*\(",
-        r"(?iu)\.[\t\n\f\r ]*(send|push|dispatch|notify)[A-Za-z0-9_]*[\t\n\f\r ]*\(",
-    ),
-    "intent": (
+    "intent":
         r"(?i)(marketing|advertis|promotion|newsletter|광고|마케팅|홍보|프로모션)",
-        r"(?iu)(marketing|advertis|promotion|newsletter|광고|마케팅|홍보|프로모션)",
-    ),
-    "opt_in": (
+    "opt_in":
         r"(?i)(consent|optin|opt_in|opt-in|동의)",
-        r"(?iu)(consent|optin|opt_in|opt-in|동의)",
-    ),
-    "financial": (
+    "financial":
         r"(?i)(\b(card_?number|card_?no|account_?number|account_?no|cvv|cvc|credit_?score|credit_?rating)\b|카드번호|계좌번호|신용등급|신용점수)",
-        r"(?iu)((?<!(?-iu:[A-Za-z0-9_]))(card_?number|card_?no|account_?number|account_?no|cvv|cvc|credit_?score|credit_?rating)(?!(?-iu:[A-Za-z0-9_]))|카드번호|계좌번호|신용등급|신용점수)",
-    ),
-    "protected": (
+    "protected":
         r"(?i)(encrypt|mask|마스킹|토큰|tokeni[sz]e)",
-        r"(?iu)(encrypt|mask|마스킹|토큰|tokeni[sz]e)",
-    ),
-    "record": (
+    "record":
         r"(?i)(\b(order_?id|order_?no|payment_?id|transaction_?id|txn_?id|purchase_?id)\b|주문번호|결제정보|거래내역|주문내역)",
-        r"(?iu)((?<!(?-iu:[A-Za-z0-9_]))(order_?id|order_?no|payment_?id|transaction_?id|txn_?id|purchase_?id)(?!(?-iu:[A-Za-z0-9_]))|주문번호|결제정보|거래내역|주문내역)",
-    ),
-    "retained": (
+    "retained":
         r"(?i)(retention|retain|preserv|expir|deleted_?at|archive|\bttl\b|보존|보관기간|파기)",
-        r"(?iu)(retention|retain|preserv|expir|deleted_?at|archive|(?<!(?-iu:[A-Za-z0-9_]))ttl(?!(?-iu:[A-Za-z0-9_]))|보존|보관기간|파기)",
-    ),
 }
 
 # Snippets are trimmed of Unicode white space at both ends (not only ASCII).
-TRIM_JAVA = r"^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$"
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 TRIM_RE2 = r"^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$"
 
 
-def java(name: str) -> str:
-    return PATTERNS[name][1]
-
-
 def re2(name: str) -> str:
-    return PATTERNS[name][0]
+    return PATTERNS[name]
 
 
 # ---------------------------------------------------------------------------
