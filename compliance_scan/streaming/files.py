@@ -1,12 +1,11 @@
 """Scan of source files as they arrive in a folder (Structured Streaming).
 
-The detectors use row frames (``ROWS BETWEEN``), which Structured Streaming
-refuses on a stream; inside ``foreachBatch`` each micro-batch is a plain
-DataFrame, so the batch scan is reused unchanged.  Each batch's findings go
-to ``<output>/batch_id=<n>`` with overwrite, so a batch replayed after a
-failure replaces its own output instead of duplicating it.  Progress is kept
-in the checkpoint location (from the session's checkpoint folder unless
-given).
+The scan of whole files has neither a shuffle nor a window, so it runs on a
+stream as it is: files that arrive are rows, and their findings are appended to
+a Parquet sink.  The checkpoint remembers which files were read and the sink's
+log which of its files count, so a query that fails and starts again scans each
+file exactly once.  Progress is kept in the checkpoint location (from the
+session's checkpoint folder unless given).
 """
 
 from __future__ import annotations
@@ -46,11 +45,7 @@ def scan_stream(spark: SparkSession, folder: str, output: str, checkpoint: str |
         same = hashlib.sha256(f"{folder}\n{output}\n{pattern}".encode()).hexdigest()[:32]
         checkpoint = f"{base.rstrip('/')}/scan-stream-{same}"
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        findings = scan(batch, detectors)
-        findings.write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
-
-    writer = (source_stream(spark, folder, pattern, max_files_per_trigger).writeStream
-              .foreachBatch(write_batch).option("checkpointLocation", checkpoint))
+    writer = (scan(source_stream(spark, folder, pattern, max_files_per_trigger), detectors).writeStream
+              .format("parquet").outputMode("append").option("path", output).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

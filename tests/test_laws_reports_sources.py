@@ -183,6 +183,23 @@ def test_stream_restart_scans_each_file_once(spark, tmp_path):
     assert len(found) == 4 and len(set(found)) == 4
 
 
+def test_stream_has_the_findings_of_the_batch(spark, tmp_path):
+    from compliance_scan.plans.scan import scan
+    from compliance_scan.sources.corpus import TEMPLATES
+    from compliance_scan.sources.files import read_sources
+    from compliance_scan.streaming.files import scan_stream
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for k in range(12):
+        (folder / f"F{k}.java").write_text("\n".join(TEMPLATES[(k * 7 + n * n) % len(TEMPLATES)] for n in range(40)))
+    scan_stream(spark, str(folder), str(out), max_files_per_trigger=5).awaitTermination()
+    found = spark.read.parquet(str(out))
+    want = scan(read_sources(spark, str(folder)))
+    assert sorted(map(tuple, found.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert found.count() > 20
+
+
 def test_scan_writes_nothing_and_a_cluster_needs_a_shared_folder(spark, tmp_path, monkeypatch):
     import types
 
