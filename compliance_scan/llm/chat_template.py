@@ -66,8 +66,9 @@ def unescape(text: str) -> str:
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+        names = batch.schema.names
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            yield dict(zip(names, row))
 
 
 def _batched(rows: Iterable[tuple], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -187,3 +188,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_conversations(given.unionByName(extra)))
+
+
+def _sql_escaped(text: str, marks: str) -> str:
+    """Code points of an escaped text: every mark takes two."""
+    return f"(2 * length({text}) - length(regexp_replace({text}, '[{marks}]', '', 'g')))"
+
+
+ORACLE = rf"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({len(TURN) + len(COLON) + len(END)} + {_sql_escaped('role', '#<:' + chr(92) * 2)} + {_sql_escaped('text', '#<' + chr(92) * 2)})::BIGINT
+         AS formatted_chars
+FROM given GROUP BY conv_id
+"""

@@ -24,5 +24,5 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op8_decontaminate": decontaminate.ORACLE, "op11_ranked_search": ranked_search.ORACLE,
+ORACLE = {"op5_chat_template": chat_template.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op11_ranked_search": ranked_search.ORACLE,
           "op12_merkle_manifest": merkle.ORACLE}

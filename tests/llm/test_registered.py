@@ -17,7 +17,7 @@ def test_one_query_for_every_operator():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     df = QUERIES[name](spark, SF0001)
     found = con.execute(ORACLE[name])
