@@ -68,6 +68,8 @@ def bundled_laws(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, LAW_SCHEMA)
 
 
+BROADCAST_BYTES = 8 << 20  # an override of at most so many bytes is broadcast by the joins
+
 _TEXTS = ("id", "name_ko", "name_en", "summary", "url", "risk_level", "full_text_ko")
 _LAW = "struct<" + ",".join(f"{c}:string" for c in _TEXTS) + ",ord:int>"
 
@@ -95,7 +97,8 @@ def load_laws(spark: SparkSession, path: str | None = None, fmt: str | None = No
 
     The override is a file or a folder of files, JSON (one object per line;
     ``{"laws": [...]}`` documents with ``multi_line=True``) or Parquet; the YAML
-    parser of the original is not rebuilt.  ``ord`` is the load order 1..n over
+    parser of the original is not rebuilt.  An override of a few megabytes is
+    marked for broadcast, a larger one is joined by shuffle.  ``ord`` is the load order 1..n over
     all files: by file name, then by place in the file; a column ``ord`` of the
     files comes first.  Duplicate IDs raise ``ValueError`` naming them (S8).
     """
@@ -106,6 +109,9 @@ def load_laws(spark: SparkSession, path: str | None = None, fmt: str | None = No
         raw = _override(spark, path, fmt, multi_line).withColumnRenamed("ord", "given")
         order = [F.asc_nulls_last("given"), F.regexp_extract("file", r"([^/]*)$", 1), F.col("file"), F.col("place")]
         laws = numbered(raw, order, name="ord").select(F.col("ord").cast("int").alias("ord"), *_TEXTS)
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in _TEXTS), F.lit(64))
+        if (laws.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+            laws = F.broadcast(laws)  # a checkpointed table has no statistics of its own
     check_unique_ids(laws)
     return laws
 

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from compliance_scan.operators import laws as law_ops
 from compliance_scan.operators import report
 from compliance_scan.plans.scan import scan, scan_lines, scan_path
 from compliance_scan.sources import tree
@@ -128,7 +129,7 @@ def law(i):
     return {"id": f"T-{i}", "name_ko": f"가{i}", "name_en": "A", "summary": "s", "url": "u", "risk_level": "HIGH"}
 
 
-def test_load_order_over_several_files(spark, tmp_path):
+def test_load_order_over_several_files(spark, tmp_path, monkeypatch):
     docs, lines, tables = (tmp_path / n for n in ("docs", "lines", "tables.parquet"))
     parts = {"b.json": [7, 3], "a.json": [9, 1, 5], "c.json": [2]}
     want = [(1, "T-9"), (2, "T-1"), (3, "T-5"), (4, "T-7"), (5, "T-3"), (6, "T-2")]
@@ -142,6 +143,12 @@ def test_load_order_over_several_files(spark, tmp_path):
     for made in (load_laws(spark, str(docs), multi_line=True), load_laws(spark, str(lines)), load_laws(spark, str(tables))):
         assert [(r.ord, r.id) for r in made.orderBy("ord").collect()] == want
         assert made.where(F.col("full_text_ko").isNotNull()).count() == 0
+        cited = spark.createDataFrame([("T-9",), ("T-0",)], "id string")
+        joined = law_ops.lookup(cited, made)
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.id, r.name_ko) for r in joined.collect()) == [("T-0", None), ("T-9", "가9")]
+    monkeypatch.setattr("compliance_scan.sources.laws.BROADCAST_BYTES", 10)
+    assert "Broadcast" not in law_ops.lookup(cited, load_laws(spark, str(lines)))._jdf.queryExecution().optimizedPlan().toString()
     make(str(docs), {"d.json": json.dumps({"laws": [law(3)]})})
     with pytest.raises(ValueError, match="duplicate law ID: T-3"):
         load_laws(spark, str(docs), multi_line=True)
