@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 from operator import eq
 
 import numpy as np
@@ -35,7 +36,6 @@ MAX_ROWS = 20_000
 FEATURES = ("log_words", "word_length", "upper_share", "digit_share", "mark_share", "distinct_words",
             "same_as_previous", "top_word", "distinct_pairs", "repeated_lines", "log_line_length", "longest_word")
 
-_LIMIT = 0x250
 _UPPER, _LOWER, _DIGIT, _SPACE, _MARK = range(5)
 
 
@@ -49,7 +49,10 @@ def _char_class(c: str) -> int:
     return _LOWER if c.isalpha() else _MARK
 
 
-_CLASS = np.array([_char_class(chr(i)) for i in range(_LIMIT)] + [_LOWER], dtype=np.uint8)
+@cache
+def _classes() -> np.ndarray:
+    """The class of every code point, 1.1 MB, made once per Python worker."""
+    return np.fromiter(map(_char_class, map(chr, range(0x110000))), dtype=np.uint8, count=0x110000)
 
 
 def features(text: str | None) -> list[float]:
@@ -58,7 +61,7 @@ def features(text: str | None) -> list[float]:
     words = text.split()
     n = len(words)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kinds = np.bincount(_CLASS[np.minimum(points, _LIMIT)], minlength=5)
+    kinds = np.bincount(_classes()[points], minlength=5)
     solid = max(1, len(points) - int(kinds[_SPACE]))
     letters = max(1, int(kinds[_UPPER] + kinds[_LOWER]))
     lines = [x for x in text.split("\n") if x]
