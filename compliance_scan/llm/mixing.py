@@ -238,5 +238,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's rows, a document once per draw, with the columns of ``docs``."""
-    return mix(docs).select(*docs.columns)
+    """The mixture's rows, a document once per draw, with the columns of ``docs``: shard by shard, each in its shuffled order."""
+    dealt = mix(docs).repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+    return dealt.select(*docs.columns)
