@@ -46,6 +46,7 @@ BLOCK_DOCS = 64
 SEED = 7
 MOST_BLOCKS = 10**8  # numpy's hypergeometric draws end at 10**9
 _SUPER = 4096
+BROADCAST_SOURCES = 1 << 16  # plans of so many sources (some 300 bytes each) are broadcast, and no text is shuffled for them
 
 
 def word_count(text: Column | str) -> Column:
@@ -170,7 +171,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOT
         c = cuts.get(s.source)
         out.append((s.source, s.source_size, float(s.target), s.blocks, s.whole, s.rest, c.place if c else None,
                     c.n if c else 1, c.left if c else 0, share.tolist()))
-    return spark.createDataFrame(out, PLAN)
+    made = spark.createDataFrame(out, PLAN)
+    return F.broadcast(made) if len(out) <= BROADCAST_SOURCES else made
 
 
 DEALT = ("size", "source_size", "target", "draws", "taken")
