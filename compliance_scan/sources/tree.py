@@ -19,11 +19,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -90,13 +93,13 @@ def _status(path: str) -> tuple[bool, int]:
     return info.type == pafs.FileType.Directory, info.size or 0
 
 
-def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
-    """``(path, is_dir, size)`` of everything right in ``folder``; links to folders are not followed."""
+def _entries(folder: str, follow: bool = False) -> Iterator[tuple[str, bool, int]]:
+    """``(path, is_dir, size)`` of everything right in ``folder``; links to folders are files, or followed."""
     local = _local(folder)
     if local is not None:
         with os.scandir(local) as found:
             for e in found:
-                is_dir = e.is_dir(follow_symlinks=False)
+                is_dir = e.is_dir(follow_symlinks=follow)
                 try:
                     size = 0 if is_dir else e.stat().st_size
                 except OSError:  # a dangling link or a file that is gone: reading it will tell
@@ -118,7 +121,48 @@ def _read(path: str) -> bytes:
         return stream.read()
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def reaches(path: str) -> bool:
+    """Whether tasks can open ``path`` themselves: a local path, or a scheme that ``pyarrow.fs`` knows."""
+    try:
+        return _local(path) is not None or bool(pafs.FileSystem.from_uri(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def _write(path: str, data: bytes) -> None:
+    local = _local(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as file:
+            file.write(data)
+        return
+    store, inner = pafs.FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(inner))
+    with store.open_output_stream(inner) as stream:
+        stream.write(data)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """``(folder, value)`` written as text below ``folder``, and the number of files.
+
+    Every partition has its own file ``<folder>/part-<partition>.txt`` for each folder of its rows,
+    with a line feed after each value (null: empty).  The executors write the files where they stay,
+    so none is renamed and the driver sees a number only; a task that runs again writes the same files.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():05d}.txt"
+        values = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        files = 0
+        for inner, of_file in groupby(values, key=lambda pair: pair[0]):
+            _write(f"{folder}/{inner}/{name}", "".join(f"{value or ''}\n" for _, value in of_file).encode())
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    ordered = rows.select("folder", "value").sortWithinPartitions("folder")
+    return ordered.mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+def _list(batches: Iterator[pa.RecordBatch], follow: bool = False) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def batch():
@@ -129,7 +173,7 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for folder in b.column(0).to_pylist():
             try:
-                for path, is_dir, size in _entries(folder):
+                for path, is_dir, size in _entries(folder, follow):
                     held.append((path, is_dir, size, None))
                     if len(held) >= LISTED_AT_ONCE:
                         yield batch()
@@ -145,9 +189,17 @@ def _spread(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
     return df.repartition(max(1, min(rows, max(at_least, -(-rows // TASK_FILES), -(-size // TASK_BYTES)))))
 
 
-def inventory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def _shown() -> Column:
+    """Whether Spark's file index has the file, or looks into the folder, at ``path``."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return (F.col("is_dir") & name.rlike("^_(common_)?metadata")) | ~name.rlike(r"(?s)^[.]|[.]_COPYING_\z|^_[^=]*\z")
+
+
+def inventory(spark: SparkSession, path: str, pattern: str | None = None, as_spark: bool = False) -> DataFrame:
     """``(file_path, size)``: every file under ``path`` whose base name matches ``pattern`` (default ``*.java``).
 
+    ``as_spark`` follows links to folders and leaves out the names, folders too, that Spark's file index does.
+
     A path that is a file is the whole inventory, whatever the pattern; a
     missing path raises ``FileNotFoundError``, a folder that cannot be listed ``OSError``.
     """
@@ -159,7 +211,8 @@ def inventory(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     folders, n = spark.createDataFrame([(os.path.normpath(root) if _local(path) is not None else root,)], "path string"), 1
     files = None
     while n:
-        level = materialize(_spread(folders, n).mapInArrow(_list, FOUND))
+        level = _spread(folders, n).mapInArrow(partial(_list, follow=as_spark), FOUND)
+        level = materialize(level.where(F.col("error").isNotNull() | _shown()) if as_spark else level)
         told = level.agg(F.count_if(F.expr("is_dir and error is null")).alias("n"), F.min("error").alias("error")).first()
         if told.error:
             raise OSError(told.error)
@@ -206,3 +259,23 @@ def read_tree(spark: SparkSession, path: str, pattern: str | None = None, row_by
     told = small.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
     # a round-robin deal: neighbours of a folder are spread over the tasks
     return _spread(small, told.n, told.size or 0).mapInArrow(_read_files, READ).unionByName(large)
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths, texts, size = [], [], 0
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            paths.append(path)
+            texts.append(_read(path))
+            size += len(texts[-1])
+            if size >= READ_AT_ONCE or len(paths) >= LISTED_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["file_path", "content"])
+                paths, texts, size = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["file_path", "content"])
+
+
+def read_whole(files: DataFrame) -> DataFrame:
+    """``(file_path, content)`` of an inventory's files, their bytes as they are; one that cannot be read fails the job."""
+    told = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    read = _spread(files.select("file_path"), told.n, told.size or 0).mapInArrow(_read_whole, "file_path string, content binary")
+    return read.select("file_path", F.col("content").cast("string").alias("content"))

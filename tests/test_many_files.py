@@ -5,6 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from compliance_scan.operators import ordering
+from compliance_scan.plans import queries
+from compliance_scan.sources import tree
 
 
 def _broadcasts(plan):
@@ -32,3 +34,18 @@ def test_numbering_broadcasts_no_row_per_group(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = [x.metrics().apply("numOutputRows").value() for x in _broadcasts(placed._jdf.queryExecution().executedPlan())]
     assert seen and max(seen) <= parts
+
+
+def test_written_files_stay_where_their_tasks_put_them(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "k=1", "a"), (2, "k=2", "b\nc"), (3, "k=1", "d"), (4, "k=3", None)], "i int, folder string, value string")
+    assert tree.write_files(rows.coalesce(1).sortWithinPartitions("i"), str(tmp_path)) == 3
+    found = {os.path.relpath(os.path.join(d, n), tmp_path): open(os.path.join(d, n)).read() for d, _, names in os.walk(tmp_path) for n in names}
+    assert found == {"k=1/part-00000.txt": "a\nd\n", "k=2/part-00000.txt": "b\nc\n", "k=3/part-00000.txt": "\n"}
+
+
+def test_corpus_folder_holds_one_file_a_key_and_no_other(spark):
+    keys = [k for (k,) in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey").collect()]
+    folder = queries.corpus_folder(spark, "/root/testdata/sf0.001").removeprefix("file:")
+    found = [(os.path.basename(d), n) for d, _, names in os.walk(folder) for n in names]
+    assert sorted(d for d, _ in found) == sorted(f"k={k}" for k in keys)
+    assert all(n.startswith("part-") for _, n in found)  # no checksum file beside each, no job's mark
