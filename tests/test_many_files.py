@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from compliance_scan.operators import ordering
 from compliance_scan.plans import queries
-from compliance_scan.sources import tree
+from compliance_scan.sources import files, tree
 
 
 def _broadcasts(plan):
@@ -49,3 +49,21 @@ def test_corpus_folder_holds_one_file_a_key_and_no_other(spark):
     found = [(os.path.basename(d), n) for d, _, names in os.walk(folder) for n in names]
     assert sorted(d for d, _ in found) == sorted(f"k={k}" for k in keys)
     assert all(n.startswith("part-") for _, n in found)  # no checksum file beside each, no job's mark
+
+
+def test_readers_of_a_local_folder_make_no_index_of_its_files(spark, tmp_path):
+    for name, text in {"a.java": "x\ny\n", "d/b.java": "z", "_d/c.java": "h", "k_=1/_x=1.java": "w", ".e.java": "h", "empty.java": "",
+                       "d/b.java._COPYING_": "h", "_y.java": "h", "_metadata.java": "h", "_metadata/m.java": "m"}.items():
+        os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    os.makedirs(tmp_path / "real.d")
+    (tmp_path / "real.d" / "l.java").write_bytes(b"\xff\n")
+    os.symlink(tmp_path / "real.d", tmp_path / "linked")
+    plain = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.java").load(str(tmp_path))
+    want = sorted(map(tuple, plain.select(files.plain_path(F.col("_metadata.file_path")), F.hex("value")).collect()))
+    whole = files.read_sources(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.select("file_path", F.hex("content")).collect())) == want
+    lines = files.read_lines(spark, str(tmp_path))
+    assert {r.file_path for r in lines.collect()} == {p for p, _ in want}
+    for df in (whole, lines):
+        assert not df.inputFiles()
