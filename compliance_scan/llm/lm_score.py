@@ -11,23 +11,33 @@ every observed bigram keeps its own counts; both models are Witten-Bell
 interpolated with add-one unigrams.  With ``n_words`` only that many of the most
 frequent words are kept apart and all others share ``n_classes`` classes.
 
-Plan: bigram counts are gathered over whole texts inside map tasks, summed by
-Spark and checkpointed; the documents meet the labels in one join.  Counts per context and per
-word come from the bigrams and are joined to them in ``SALTS`` copies, so the
-bigrams of a common word are many keys.  A document's own bigrams, counted in
-map tasks, are joined to the logarithms of their probabilities and summed per
-text, named by a 64-bit hash; the adaptive skew join splits common bigrams.
-All tables grow with the corpus and stay in Spark; nothing reaches the driver
-(with ``n_words``, that list).
+Plan: the documents meet the labels in one join, and map tasks write them as
+*blocks* of about a million tokens: the block's words by hash, the tokens as
+places among them.  What a block counts itself, for its distinct bigrams and
+then for its distinct words, meets the other blocks' counts once: every block
+sends its sorted 64-bit keys and counts, as packed arrays, to the buckets that
+the keys' highest bits name; a bucket sums the counts of equal keys and sends
+the sums back in the same order, so that no key travels twice.  The first block
+with a bigram counts it among the kinds of its context.  A block then has the
+logarithms of all its tokens and sums them per text.  Buckets are as many as
+the tokens need, and a key has one place per block, so neither a bucket nor the
+share of a common word grows with the corpus.  The tables of blocks and sums are
+Parquet files in the shared checkpoint folder and stay there; the driver gets
+three sums (with ``n_words``, also that list).
+
+A bigram is one 64-bit hash of its two words' hashes; that any two of n
+different bigrams share one has a chance of about n * n / 2**65 (0.03 for 10**9).
 
 Defined results: null and empty texts have no tokens and score 0 in every
 column; equal texts have equal scores; without target documents the target
-model is uniform; an empty table gives an empty result.  Input columns named
+model is uniform; words and bigrams that only scored documents hold have count
+0; an empty table gives an empty result.  Input columns named
 like an output column are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -35,16 +45,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, back, cut, read
-from .words import WordHashes, words_of
+from .common import apart, back, read, released, shared_folder
+from .words import WordHashes, mixed, words_of
 
 N_CLASSES = 512
 START = xxhash.xxh3_64_intdigest(b" ") - (1 << 63)  # before the first word; no word holds a blank
-SALTS = 8
-_TOKENS = 1 << 20  # that a task sorts at once
+MODELS = ("target", "background")
+BLOCK = "block long, words binary, tokens binary, lengths binary, texts binary, good binary, target long, background long, n long"
+WORD_COUNTS = tuple(f"{c}_{m}" for c in ("seen", "kinds", "once") for m in MODELS)
+UNCOUNTED = 1 << 62  # first number of blocks that are scored, but not counted
+_TOKENS = 1 << 20  # of a block; half of those of a bucket
 _FLUSH = 300_000  # distinct words that a task holds
 
 
@@ -106,50 +120,187 @@ def numbered(words: Vocabulary | None) -> Callable[[list[bytes]], np.ndarray]:
     return lambda found: hashes.of(found).view(np.int64)
 
 
-def _counted(columns: list[np.ndarray], sums: list[np.ndarray]) -> list[np.ndarray]:
-    """The distinct rows of ``columns``, and the sums of ``sums`` over each."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.nonzero(new)[0]
-    return [c[at] for c in columns] + [np.add.reduceat(x[order], at) if len(at) else x for x in sums]
-
-
-def _bigrams(batches: Iterable[pa.RecordBatch], words: Vocabulary | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(second column, previous, current) of the tokens of (text, second column), in runs of about ``_TOKENS``."""
-    number = numbered(words)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    tokens = 0
-    for batch in batches:
-        for text, mark in zip(batch.column(0), batch.column(1).to_pylist()):
-            now = number(words_of(text.as_py()))
-            if len(now):
-                held.append((np.full(len(now), mark, dtype=np.int64), np.concatenate([[START], now[:-1]]), now))
-                tokens += len(now)
-            if tokens >= _TOKENS:
-                yield tuple(map(np.concatenate, zip(*held)))
-                held, tokens = [], 0
-    if held:
-        yield tuple(map(np.concatenate, zip(*held)))
-
-
-def bigram_counts(docs: DataFrame, target_ids: DataFrame, words: Vocabulary | None = None) -> DataFrame:
-    """``previous, current, target, background``: bigram counts over the target documents and over all."""
+def kept(table: DataFrame, folder: str, schema: str) -> DataFrame:
+    """``table``, computed once and written as a Parquet table; the job's shuffle files are let go of."""
+    # Few, but long rows: without these, a writer holds a hundred of them before it looks at their size.
+    (table.write.option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(folder))
+    done = table.sparkSession.read.schema(schema).parquet(folder)
+    done.isEmpty()  # the driver holds on to a job until the next one
+    released(table.sparkSession)
+    return done
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The length of a 64-bit array and its bytes, compressed: the lowest of all numbers first, then the next ones."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(held: pa.Scalar) -> np.ndarray:
+    held = held.as_buffer()
+    n = int.from_bytes(held[:8], "little")
+    planes = np.frombuffer(pa.decompress(held[8:], 8 * n, "zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def blocks_of(docs: DataFrame, words: Vocabulary | None, first: int = 0) -> DataFrame:
+    """``BLOCK`` rows of ``text, good``; good: 1 for target documents, 0 for others, -1 for those not counted."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    schema = pa.schema([(c, pa.int64()) for c in ("previous", "current", "target", "background")])
+    most = _TOKENS
+    schema = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("words", "tokens", "lengths", "texts", "good")],
+                        *[(c, pa.int64()) for c in (*MODELS, "n")]])
+
+    def block(number: int, held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        found, texts, good = zip(*held)
+        kinds, place, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small places for common words, which pack well
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        lengths, marks = np.array([len(x) for x in found]), np.array(good)
+        row = (number, *map(packed, (np.concatenate([[START], kinds[order]]), rank[place], lengths, np.array(texts), marks)),
+               int(lengths[marks == 1].sum()), int(lengths[marks >= 0].sum()), int(lengths.sum()))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = numbered(shared.value)
+        made = first + (TaskContext.get().partitionId() << 32)
+        held: list[tuple[np.ndarray, int, int]] = []
+        tokens = 0
+        for batch in batches:
+            for text, key, good in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                now = number(words_of(text.as_py()))
+                if len(now):
+                    held.append((now, key, good))
+                    tokens += len(now)
+                if tokens >= most:
+                    yield block(made, held)
+                    held, tokens, made = [], 0, made + 1
+        if held:
+            yield block(made, held)
+
+    return docs.select("text", F.xxhash64("text"), "good").mapInArrow(encode, BLOCK)
+
+
+class Block:
+    """A ``BLOCK`` row and its distinct bigrams, in the order of their keys."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch, i: int = 0):
+        def values(name: str) -> np.ndarray:
+            return unpacked(rows.column(name)[i])
+
+        self.number, self.texts, self.lengths = rows.column("block")[i].as_py(), values("texts"), values("lengths")
+        self.words, self.current = values("words").view(np.uint64), values("tokens")
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.previous = np.concatenate([[0], self.current[:-1]])
+        self.previous[self.starts] = 0
+        good = np.repeat(values("good"), self.lengths)
+        self.marks = [(good == 1).astype(np.int64), (good >= 0).astype(np.int64)]
+        keys = mixed(mixed(self.words)[self.previous] + self.words[self.current])
+        order, self.at = _sorted_runs(keys)
+        self.one = order[self.at]  # a token of every bigram
+        self.keys = keys[self.one]
+        self.counts = [np.add.reduceat(x[order], self.at) for x in self.marks]
+        self.place = np.empty(len(keys), dtype=np.int64)  # of every token's bigram
+        self.place[order] = np.repeat(np.arange(len(self.at)), np.diff(np.append(self.at, len(keys))))
+
+
+def _sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts ``keys``, and where runs of equal ones begin in it."""
+    order = np.argsort(keys)
+    held = keys[order]
+    return order, np.nonzero(np.concatenate([np.ones(min(1, len(held)), dtype=bool), held[1:] != held[:-1]]))[0]
+
+
+def _sent(number: int, keys: np.ndarray, counts: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows ``bucket, block, keys, counts...``: a block's sorted keys, cut where the next bucket begins.
+
+    Keys are packed as their differences.
+    """
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    offsets = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    used = np.nonzero(np.diff(offsets))[0]
+
+    def cut(x: np.ndarray) -> pa.Array:
+        return pa.array([packed(x[offsets[i]:offsets[i + 1]]) for i in used], pa.binary())
+
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    steps[offsets[used]] = keys[offsets[used]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int64()), pa.array(np.full(len(used), number), pa.int64()), cut(steps), *map(cut, counts.values())],
+        names=["bucket", "block", "keys", *counts])
+
+
+def _sent_schema(names: Iterable[str]) -> str:
+    return ", ".join(["bucket long, block long, keys binary", *[f"{n} binary" for n in names]])
+
+
+def _sums_schema(names: Iterable[str]) -> str:
+    return ", ".join(["block long, bucket long, known long", *[f"{n} binary" for n in (*names, *_firsts(names))]])
+
+
+def _firsts(names: Iterable[str]) -> list[str]:
+    return [f"first_{n}" for n in names]
+
+
+def summed(sent: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The rows that blocks sent, with the sums over all blocks in place of their counts.
+
+    ``first_...`` is 1 at one of the places of every key whose sum is not 0, ``known`` the number of such places for the last sum.
+    """
+    def total(rows: pa.Table) -> pa.Table:
+        each = [np.cumsum(unpacked(x).view(np.uint64)) for x in rows.column("keys")]
+        ends = np.cumsum([len(x) for x in each])
+        order, at = _sorted_runs(np.concatenate(each))
+        run = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+        sums, firsts = {}, {}
+        for n in names:
+            counts = np.concatenate([unpacked(x) for x in rows.column(n)])
+            of_key = np.add.reduceat(counts[order], at)
+            sums[n], firsts[f"first_{n}"] = np.empty_like(counts), np.zeros_like(counts)
+            sums[n][order] = of_key[run]
+            firsts[f"first_{n}"][order[at]] = of_key > 0
+        known = [int(x.sum()) for x in np.split(firsts[f"first_{names[-1]}"], ends[:-1])]
+        made = {n: pa.array(map(packed, np.split(x, ends[:-1])), pa.binary()) for n, x in {**sums, **firsts}.items()}
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(known, pa.int64()), *made.values()],
+                                    names=["block", "bucket", "known", *made])
+
+    return sent.groupBy("bucket").applyInArrow(total, _sums_schema(names))
+
+
+def _of_block(rows: pa.Table, names: Iterable[str]) -> dict[str, np.ndarray]:
+    """A block's rows of ``summed``, joined in the order in which it sent its keys."""
+    rows = rows.sort_by("bucket")
+    return {n: np.concatenate([unpacked(x) for x in rows.column(n)]) for n in names}
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for good, before, now in _bigrams(batches, shared.value):
-            rows = _counted([before, now], [good, np.ones_like(good)])
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows)), schema=schema)
 
-    # The labels grow with the corpus, so this is a shuffle join at every size.
-    good = target_ids.select("doc_id").distinct().withColumn("_good", F.lit(1))
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("_good", F.lit(0)).alias("good"))
-    return (marked.mapInArrow(count, "previous long, current long, target long, background long")
-            .groupBy("previous", "current").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+def bigram_sums(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``summed`` bigram counts, over the target documents and over all."""
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block(batch, i)
+                yield _sent(b.number, b.keys, dict(zip(MODELS, b.counts)), buckets)
+
+    return summed(blocks.mapInArrow(send, _sent_schema(MODELS)), MODELS)
+
+
+def word_sums(blocks: DataFrame, bigrams: DataFrame, buckets: int) -> DataFrame:
+    """``summed`` counts of words: how often and before how many kinds of words as context, how often as a word."""
+    def send(block: pa.Table, sums: pa.Table) -> pa.Table:
+        b, first = Block(block), _of_block(sums, _firsts(MODELS))
+        keys = mixed(b.words)
+        order = np.argsort(keys)
+
+        def number(places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            return np.bincount(places, weights, len(keys))[order].astype(np.int64)
+
+        context = b.previous[b.one]
+        counts = [*[number(b.previous, m) for m in b.marks], *[number(context, first[f"first_{m}"]) for m in MODELS],
+                  *[number(b.current, m) for m in b.marks]]
+        return pa.Table.from_batches([_sent(b.number, keys[order], dict(zip(WORD_COUNTS, counts)), buckets)])
+
+    sent = blocks.groupBy("block").cogroup(bigrams.select("block", "bucket", *_firsts(MODELS)).groupBy("block")).applyInArrow(send, _sent_schema(WORD_COUNTS))
+    return summed(sent, WORD_COUNTS)
 
 
 def log_model(counts: np.ndarray) -> np.ndarray:
@@ -164,66 +315,71 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(counts / total + (kinds[:, None] / total) * unigram).astype(np.float32)
 
 
-MODELS = ("target", "background")
-
-
 @dataclass
 class Model:
-    logs: DataFrame  # previous, current, target, background: natural logs of P(current | previous)
+    docs: DataFrame  # that were counted
+    blocks: DataFrame
     words: Vocabulary | None
-
-
-def log_probabilities(counts: DataFrame, size: int | None = None) -> DataFrame:
-    """``log_model`` of the observed bigrams; ``size`` is the vocabulary's, or the number of words seen."""
-    def salt(other: str) -> Column:
-        return F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
-
-    def copies(table: DataFrame) -> DataFrame:
-        return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-
-    contexts = counts.groupBy("previous").agg(
-        *[F.sum(m).alias(f"_seen_{m}") for m in MODELS],
-        *[F.sum((F.col(m) > 0).cast("long")).alias(f"_kinds_{m}") for m in MODELS])
-    once = counts.groupBy("current").agg(*[F.sum(m).alias(f"_once_{m}") for m in MODELS])
-    total = once.agg((F.count(F.lit(1)) if size is None else F.lit(size)).alias("_size"),
-                     *[F.sum(f"_once_{m}").alias(f"_total_{m}") for m in MODELS])
-    x = (counts.withColumn("_salt", salt("current")).join(copies(contexts), ["previous", "_salt"])
-         .withColumn("_salt", salt("previous")).join(copies(once), ["current", "_salt"]).crossJoin(F.broadcast(total)))
-
-    def log(m: str) -> Column:
-        kinds = F.greatest(F.col(f"_kinds_{m}"), F.lit(1))  # nothing seen: the unigrams alone
-        unigram = (F.col(f"_once_{m}") + 1) / (F.col(f"_total_{m}") + F.col("_size"))
-        return F.log((F.col(m) + kinds * unigram) / (F.col(f"_seen_{m}") + kinds)).alias(m)
-
-    return x.select("previous", "current", *map(log, MODELS))
+    folder: str  # of the tables
 
 
 def train(docs: DataFrame, target_ids: DataFrame, n_words: int | None = None, n_classes: int = N_CLASSES) -> Model:
     words = None if n_words is None else vocabulary(docs, n_words, n_classes)
-    counts = cut(bigram_counts(docs, target_ids, words))  # three consumers
-    return Model(log_probabilities(counts, words and words.size), words)
+    folder = f"{shared_folder(docs.sparkSession)}/lm-score-{uuid.uuid4().hex}"
+    # The labels grow with the corpus, so this is a shuffle join at every size.
+    good = target_ids.select("doc_id").distinct().withColumn("_good", F.lit(1))
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("_good", F.lit(0)).alias("good"))
+    return Model(docs, kept(blocks_of(marked, words), f"{folder}/blocks", BLOCK), words, folder)
+
+
+def text_losses(blocks: DataFrame, bigrams: DataFrame, words: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
+    """``_text, n_tokens, target_loss, background_loss`` of the blocks' texts, by ``log_model`` of the sums."""
+    none = F.lit(None).cast("binary")
+    both = (bigrams.select("block", "bucket", F.lit(True).alias("pairs"), *MODELS, *[none.alias(n) for n in WORD_COUNTS])
+            .unionByName(words.select("block", "bucket", F.lit(False).alias("pairs"), *WORD_COUNTS, *[none.alias(n) for n in MODELS])))
+    schema = pa.schema([("_text", pa.int64()), ("n_tokens", pa.int64()), *[(f"{m}_loss", pa.float64()) for m in MODELS]])
+
+    def losses(block: pa.Table, sums: pa.Table) -> pa.Table:
+        b = Block(block)
+        of = sums.column("pairs").to_numpy()
+        pairs = _of_block(sums.filter(pa.array(of)), MODELS)
+        order = np.argsort(mixed(b.words))
+        word = {}
+        for n, x in _of_block(sums.filter(pa.array(~of)), WORD_COUNTS).items():
+            word[n] = np.empty(len(order))
+            word[n][order] = x
+        before, now = b.previous[b.one], b.current[b.one]
+        means = []
+        for m, total in zip(MODELS, totals):
+            kinds = np.maximum(word[f"kinds_{m}"], 1)  # nothing seen: the unigrams alone
+            unigram = (word[f"once_{m}"] + 1) / (total + size)
+            logs = np.log((pairs[m] + kinds[before] * unigram[now]) / (word[f"seen_{m}"] + kinds)[before])
+            means.append(-np.add.reduceat(logs[b.place], b.starts) / b.lengths)
+        return pa.Table.from_arrays([pa.array(b.texts), pa.array(b.lengths, pa.int64()), *map(pa.array, means)], schema=schema)
+
+    return (blocks.groupBy("block").cogroup(both.groupBy("block"))
+            .applyInArrow(losses, "_text long, n_tokens long, target_loss double, background_loss double"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``n_tokens``, ``target_loss``, ``background_loss`` (nats a token) and ``difference``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.words)
-    schema = pa.schema([(c, pa.int64()) for c in ("_text", "previous", "current", "_n")])
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, before, now in _bigrams(batches, shared.value):
-            rows = _counted([text, before, now], [np.ones_like(text)])
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, rows)), schema=schema)
-
+    folder = f"{model.folder}/{uuid.uuid4().hex}"
+    blocks = own = model.blocks
+    if not docs.select("text").sameSemantics(model.docs.select("text")):
+        own = kept(blocks_of(docs.select("text", F.lit(-1).alias("good")), model.words, UNCOUNTED), f"{folder}/blocks", BLOCK)
+        blocks = blocks.unionByName(own)
+    n = blocks.agg(*[F.sum(c).alias(c) for c in (*MODELS, "n")]).first()
+    buckets = -(-(n.n or 0) // (2 * _TOKENS)) or 1
+    bigrams = kept(bigram_sums(blocks, buckets), f"{folder}/bigrams", _sums_schema(MODELS))
+    words = kept(word_sums(blocks, bigrams, buckets), f"{folder}/words", _sums_schema(WORD_COUNTS))
+    size = model.words.size if model.words is not None else words.agg(F.sum("known")).first()[0] or 0
+    if own is not blocks:
+        bigrams, words = (x.where(F.col("block") >= UNCOUNTED) for x in (bigrams, words))
     made = ("n_tokens", "target_loss", "background_loss", "difference")
     keyed, names = apart(docs, made, _text=F.xxhash64("text"))
-    own = docs.select("text", F.xxhash64("text").alias("_text")).mapInArrow(count, "_text long, previous long, current long, _n long")
-    # Copies of a text are summed together; each has one first word.
-    losses = (own.join(model.logs.hint("merge"), ["previous", "current"]).groupBy("_text")
-              .agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("previous") == START, F.col("_n"))).alias("_copies"),
-                   *[(-F.sum(F.col("_n") * F.col(m))).alias(f"_{m}") for m in MODELS]))
-    out = keyed.join(losses.hint("merge"), "_text", "left")
-    out = out.withColumns({"n_tokens": F.coalesce(F.floor(F.col("_all") / F.col("_copies")), F.lit(0)).cast("long"),
-                           **{f"{m}_loss": F.coalesce(F.col(f"_{m}") / F.col("_all"), F.lit(0.0)) for m in MODELS}})
+    # Copies of a text have the same figures.
+    losses = text_losses(own, bigrams, words, tuple(n[m] or 0 for m in MODELS), size).groupBy("_text").agg(*[F.max(c).alias(c) for c in made[:3]])
+    out = keyed.join(losses.hint("merge"), "_text", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long" if c == "n_tokens" else "double")) for c in made[:3]})
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).select(*back(names), *made)
 
 
