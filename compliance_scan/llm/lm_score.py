@@ -56,6 +56,7 @@ N_CLASSES = 512
 START = xxhash.xxh3_64_intdigest(b" ") - (1 << 63)  # before the first word; no word holds a blank
 MODELS = ("target", "background")
 BLOCK = "block long, words binary, tokens binary, lengths binary, texts binary, good binary, target long, background long, n long"
+LOSSES = "_text long, n_tokens long, target_loss double, background_loss double"
 WORD_COUNTS = tuple(f"{c}_{m}" for c in ("seen", "kinds", "once") for m in MODELS)
 UNCOUNTED = 1 << 62  # first number of blocks that are scored, but not counted
 _TOKENS = 1 << 20  # of a block; half of those of a bucket
@@ -358,7 +359,7 @@ def text_losses(blocks: DataFrame, bigrams: DataFrame, words: DataFrame, totals:
         return pa.Table.from_arrays([pa.array(b.texts), pa.array(b.lengths, pa.int64()), *map(pa.array, means)], schema=schema)
 
     return (blocks.groupBy("block").cogroup(both.groupBy("block"))
-            .applyInArrow(losses, "_text long, n_tokens long, target_loss double, background_loss double"))
+            .applyInArrow(losses, LOSSES))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -377,8 +378,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         bigrams, words = (x.where(F.col("block") >= UNCOUNTED) for x in (bigrams, words))
     made = ("n_tokens", "target_loss", "background_loss", "difference")
     keyed, names = apart(docs, made, _text=F.xxhash64("text"))
-    # Copies of a text have the same figures.
+    # Copies of a text have the same figures.  Kept, so that nothing stands between the join and its exchange and common texts are split.
     losses = text_losses(own, bigrams, words, tuple(n[m] or 0 for m in MODELS), size).groupBy("_text").agg(*[F.max(c).alias(c) for c in made[:3]])
+    losses = kept(losses, f"{folder}/losses", LOSSES)
     out = keyed.join(losses.hint("merge"), "_text", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long" if c == "n_tokens" else "double")) for c in made[:3]})
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).select(*back(names), *made)
 
